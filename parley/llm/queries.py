@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, packing, quality_rules, token_counts
+from . import byte_bpe, exact_dedup, near_dup, packing, pii, quality_model, quality_rules, token_counts, toxicity
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_pii": pii.op3_pii,
+    "op4_quality_classifier": quality_model.op4_quality_classifier,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_near_dup": near_dup.op9_near_dup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "pipeline": pipeline,
 }
 
 ORACLE = {
