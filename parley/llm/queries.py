@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, near_dup, packing, pii, quality_model, quality_rules, token_counts, toxicity
+from . import byte_bpe, exact_dedup, html_text, near_dup, packing, pii, quality_model, quality_rules, token_counts, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_quality_classifier": quality_model.op4_quality_classifier,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_html_text": html_text.op6_html_text,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dup": near_dup.op9_near_dup,
