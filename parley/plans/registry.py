@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import session_queries
+
+QUERIES = dict(session_queries.QUERIES)
+ORACLE = dict(session_queries.ORACLE)
 FLAGSHIP = "engagement_results"
