@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .contact import INVISIBLE
 
@@ -18,7 +19,7 @@ TIMESTAMP_FORMATS = [
 ]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility normalisation, which has no built-in; apply it to distinct names."""
     return s.fillna("").str.normalize("NFKC")
