@@ -232,7 +232,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns, with the spans in ``text_col`` replaced; null stays null."""
-    place = docs.columns.index(text_col)
+    columns = docs.columns
+    place = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +242,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for a, b in blocks(texts):
                 new = pa.array([None if gone else redacted(t) for t, gone in zip(texts[a:b], null[a:b])], pa.string())
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(part.columns)], names=docs.columns)
+                yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(part.columns)], names=columns)
 
     return docs.mapInArrow(run, docs.schema)
 
