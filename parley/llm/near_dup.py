@@ -12,8 +12,9 @@ A document's set is its distinct shingles, hashed to 64 bits.  Documents with on
   that are common in a sample come last, parts with many shingles come first.  A class with d or fewer emits all its parts and
   the empty ones too.  Both rules lose no link; the sample only orders.
 * Verify.  Classes that meet in a part are first compared with one centre for each part, the links give components, and only
-  pairs of different components that still meet are compared after that, until none is left.  Pairs within a component are
-  never made, so a group of thousands of copies costs a few pairs for each.
+  pairs of different components that still meet are compared after that, unless their distances from a centre differ by more
+  than links allow (the symmetric difference is a metric).  Pairs within a component are never made, so a group of thousands
+  of copies costs a few pairs for each.
 
 Nothing but the sample's common shingles (bounded) goes to the driver.  Tables are written to the shared folder.
 
@@ -90,10 +91,8 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         if b - a >= words:
             sets.append(np.unique(every[a : b - words + 1]))
         elif b > a:
-            short = np.uint64(b - a)
-            for j in range(b - a):
-                short = short + word[a + j] * np.uint64(_PLACES[j + 32])
-            sets.append(mix(np.array([short], np.uint64)))
+            short = (word[a:b] * np.array(_PLACES[32 : 32 + b - a], np.uint64)).sum(keepdims=True) + np.uint64(b - a)
+            sets.append(mix(short))
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
@@ -258,54 +257,71 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``linked``."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    both = F.when(fits, F.size(F.array_intersect("sa", "sb"))).otherwise(0)
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", both.alias("i"))
-    return rows.select("a", "b", (100 * F.col("i") >= percent * (F.col("na") + F.col("nb") - F.col("i"))).alias("linked"))
+    """The pairs (id, c) with ``linked`` and ``delta``, the symmetric difference of their sets."""
+    left = sets.select("id", F.col("n").alias("n1"), F.col("s").alias("s1"))
+    right = sets.select(F.col("id").alias("c"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    rows = pairs.join(left, "id").join(right, "c").select("id", "c", "n1", "n2", F.size(F.array_intersect("s1", "s2")).alias("i"))
+    linked = 100 * F.col("i") >= percent * (F.col("n1") + F.col("n2") - F.col("i"))
+    return rows.select("id", "c", linked.alias("linked"), (F.col("n1") + F.col("n2") - 2 * F.col("i")).alias("delta"))
 
 
-def _least_first(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+
+
+def _nearest(rows: DataFrame) -> DataFrame:
+    """id, c: of the centres that an id meets the one that it meets most often."""
+    met = rows.groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("id").agg(F.max_by("c", F.struct("n", "c")).alias("c"))
 
 
 def _unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, id, root of the rows whose key holds several components."""
+    """key, id, root, low of the rows whose key holds several components; low: the least root."""
     own = met.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     open_keys = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "low")
     return own.join(open_keys, "key")
 
 
+def _possible(rows: DataFrame, known: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """id, c: the pairs of different components that meet and that no known distance rules out.
+
+    Sets that link differ by (|A| + |B|) (100 - percent) / (100 + percent) at most.  The symmetric difference is a metric, so
+    if two sets' distances from one centre differ by more, they can't link: most that only resemble a large group fall here,
+    within the join, before a row is made.
+    """
+    to = F.collect_list(F.struct("c", "delta"))
+    own = known.select("id", "c", "delta").unionByName(known.select("c", F.col("c").alias("c2")).distinct().select(F.col("c").alias("id"), F.col("c2").alias("c"), F.lit(0).alias("delta")))
+    ids = sizes.join(own.groupBy("id").agg(to.alias("to")), "id", "left")
+    full = materialize(rows.select("key", "id", "root").join(ids, "id"), "unsettled-all")
+    a, b = full.alias("a"), full.alias("b")
+    most = F.floor((F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent))
+    apart = F.exists("a.to", lambda x: F.exists("b.to", lambda y: (x["c"] == y["c"]) & (F.abs(x["delta"] - y["delta"]) > most)))
+    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits & ~F.coalesce(apart, F.lit(False))
+    return a.join(b, on).select(F.col("a.id").alias("id"), F.col("b.id").alias("c")).distinct()
+
+
 def class_roots(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, root of the classes that link with another."""
-    links = tried = roots = None
+    found, roots = None, None
     for step in ("nearest", "centre", "all"):
-        if roots is None:
+        if step == "nearest":
             centre = met.groupBy("key").agg(F.min("id").alias("c"))
-            pairs = met.join(centre, "key").filter("id <> c").groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
-            pairs = pairs.groupBy("id").agg(F.max_by("c", F.struct("n", "c")).alias("c")).select(*_least_first("id", "c"))
+            pairs = _nearest(met.join(centre, "key").filter("id <> c"))
         else:
             rows = materialize(_unsettled(met, roots), "unsettled")
             if rows.isEmpty():
                 break
             if step == "centre":
                 centre = rows.filter("root = low").groupBy("key").agg(F.min("id").alias("c"))
-                pairs = rows.filter("root <> low").join(centre, "key").groupBy("id", "c").agg(F.count(F.lit(1)).alias("n"))
-                pairs = pairs.groupBy("id").agg(F.max_by("c", F.struct("n", "c")).alias("c")).select(*_least_first("id", "c"))
+                pairs = _nearest(rows.filter("root <> low").join(centre, "key"))
             else:
-                # What is left: each pair of different components that meets, once.
-                other = rows.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-                pairs = rows.select("key", F.col("id").alias("a"), "root").join(other, "key").filter("a < b AND root <> root_b").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = materialize(verified(pairs, sets, percent), f"verified-{step}")
-        tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
-        new = found.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
+                pairs = _possible(rows, found, sets.select("id", "n"), percent)
+            tried = _ordered(found).distinct()
+            pairs = pairs.withColumns({"a": F.least("id", "c"), "b": F.greatest("id", "c")}).join(tried, ["a", "b"], "left_anti").select("id", "c")
+        new = materialize(verified(pairs, sets, percent), f"verified-{step}")
+        found = new if found is None else found.unionByName(new)
+        roots = components(_ordered(found.filter("linked")))
     return roots
 
 

@@ -77,7 +77,7 @@ class Trees:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.base)
-        if len(self.feature):
+        if len(self.feature) and len(x):
             rows, trees = np.arange(len(x))[:, None], np.arange(len(self.feature))[None, :]
             node = np.zeros((len(x), len(self.feature)), np.int64)
             inner = self.feature.shape[1]
