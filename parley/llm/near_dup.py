@@ -12,9 +12,8 @@ A document's set is its distinct shingles, hashed to 64 bits.  Documents with on
   that are common in a sample come last, parts with many shingles come first.  A class with d or fewer emits all its parts and
   the empty ones too.  Both rules lose no link; the sample only orders.
 * Verify.  Classes that meet in a part are first compared with one centre for each part, the links give components, and only
-  pairs of different components that still meet are compared after that, unless their distances from a centre differ by more
-  than links allow (the symmetric difference is a metric).  Pairs within a component are never made, so a group of thousands
-  of copies costs a few pairs for each.
+  pairs of different components that still meet are compared after that, unless the Hamming distance of short sketches is
+  already too large.  Pairs within a component are never made, so a group of thousands of copies costs a few pairs for each.
 
 Nothing but the sample's common shingles (bounded) goes to the driver.  Tables are written to the shared folder.
 
@@ -31,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, documents, map_texts, materialize, text_list
@@ -45,6 +44,8 @@ WORDS, PERCENT = 5, 80
 SAMPLE, SAMPLE_SIZE, COMMON, COMMON_MOST = 4096, 20_000, 4, 200_000
 #: Parts of a scheme for each shingle of its largest class, and at least.
 PARTS, LEAST_PARTS = 0.45, 8
+#: 64-bit words of the short sketch of a whole set.
+SKETCH_WORDS = 8
 BLOCK = 1_000_000
 SEEN = 200_000
 
@@ -156,6 +157,14 @@ def emitted(own: np.ndarray, common: np.ndarray, percent: int = PERCENT) -> np.n
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
+def short_sketches(sets: list[np.ndarray]) -> pa.Array:
+    """For each set SKETCH_WORDS longs: each hash flips one bit of them."""
+    size = 64 * SKETCH_WORDS
+    bits = [np.bincount((s.view(np.uint64) >> np.uint64(7)).astype(np.int64) % size, minlength=size) & 1 for s in sets]
+    packed = np.packbits(np.array(bits, np.uint8).reshape(len(sets), size), axis=1).view(np.int64)
+    return pa.FixedSizeListArray.from_arrays(pa.array(packed.ravel()), SKETCH_WORDS).cast(pa.list_(pa.int64()))
+
+
 def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep: list[str]) -> DataFrame:
     """n_shingles and the set's name (f1, f2) of each row."""
 
@@ -250,19 +259,20 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: s
                 sets = [s.view(np.int64) for s, ok in zip(sets, right) if ok]
                 size = np.fromiter(map(len, sets), np.int32, len(sets))
                 values = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(size, dtype=np.int32))), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right)), pa.array(size), values], names=["id", "n", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right)), pa.array(size), values, short_sketches(sets)], names=["id", "n", "s", "sketch"])
 
     # An id that several rows have may give a class twice.
-    return rows.mapInArrow(run, "id long, n int, s array<long>").groupBy("id").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    found = rows.mapInArrow(run, "id long, n int, s array<long>, sketch array<long>")
+    return found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "s", "sketch")))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, c) with ``linked`` and ``delta``, the symmetric difference of their sets."""
+    """The pairs (id, c) with ``linked``."""
     left = sets.select("id", F.col("n").alias("n1"), F.col("s").alias("s1"))
     right = sets.select(F.col("id").alias("c"), F.col("n").alias("n2"), F.col("s").alias("s2"))
     rows = pairs.join(left, "id").join(right, "c").select("id", "c", "n1", "n2", F.size(F.array_intersect("s1", "s2")).alias("i"))
     linked = 100 * F.col("i") >= percent * (F.col("n1") + F.col("n2") - F.col("i"))
-    return rows.select("id", "c", linked.alias("linked"), (F.col("n1") + F.col("n2") - 2 * F.col("i")).alias("delta"))
+    return rows.select("id", "c", linked.alias("linked"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -275,48 +285,56 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.max_by("c", F.struct("n", "c")).alias("c"))
 
 
+def _weighed(met: DataFrame) -> DataFrame:
+    """The rows with ``weight``: how many rows an id meets over all its keys, most for what a group was copied from."""
+    size = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weight = met.join(size, "key").groupBy("id").agg(F.sum("size").alias("weight"))
+    return met.join(weight, "id").select("key", "id", "weight")
+
+
+def _heaviest() -> Column:
+    return F.max_by("id", F.struct("weight", "id")).alias("c")
+
+
 def _unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, id, root, low of the rows whose key holds several components; low: the least root."""
-    own = met.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key", "low")
-    return own.join(open_keys, "key")
+    """key, id, weight, root of the rows whose key holds several components."""
+    own = met.join(roots, "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root"))
+    open_keys = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return own.join(open_keys, "key", "left_semi")
 
 
-def _possible(rows: DataFrame, known: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """id, c: the pairs of different components that meet and that no known distance rules out.
+def _possible(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """id, c: the pairs of different components that meet and whose sketches allow a link.
 
-    Sets that link differ by (|A| + |B|) (100 - percent) / (100 + percent) at most.  The symmetric difference is a metric, so
-    if two sets' distances from one centre differ by more, they can't link: most that only resemble a large group fall here,
-    within the join, before a row is made.
+    Sets that link differ by (|A| + |B|) (100 - percent) / (100 + percent) at most, and the Hamming distance of their short
+    sketches is no more than that: what only resembles a large group falls within the join, before a row is made.
     """
-    to = F.collect_list(F.struct("c", "delta"))
-    own = known.select("id", "c", "delta").unionByName(known.select("c", F.col("c").alias("c2")).distinct().select(F.col("c").alias("id"), F.col("c2").alias("c"), F.lit(0).alias("delta")))
-    ids = sizes.join(own.groupBy("id").agg(to.alias("to")), "id", "left")
-    full = materialize(rows.select("key", "id", "root").join(ids, "id"), "unsettled-all")
+    full = materialize(rows.select("key", "id", "root").join(sketches, "id"), "unsettled-all")
     a, b = full.alias("a"), full.alias("b")
-    most = F.floor((F.col("a.n") + F.col("b.n")) * (100 - percent) / (100 + percent))
-    apart = F.exists("a.to", lambda x: F.exists("b.to", lambda y: (x["c"] == y["c"]) & (F.abs(x["delta"] - y["delta"]) > most)))
+    distance = sum((F.bit_count(F.get("a.sketch", F.lit(i)).bitwiseXOR(F.get("b.sketch", F.lit(i)))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.get("a.sketch", F.lit(0)).bitwiseXOR(F.get("b.sketch", F.lit(0)))))
+    near = distance * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits & ~F.coalesce(apart, F.lit(False))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits & near
     return a.join(b, on).select(F.col("a.id").alias("id"), F.col("b.id").alias("c")).distinct()
 
 
 def class_roots(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, root of the classes that link with another."""
     found, roots = None, None
+    met = materialize(_weighed(met), "weighed")
     for step in ("nearest", "centre", "all"):
         if step == "nearest":
-            centre = met.groupBy("key").agg(F.min("id").alias("c"))
+            centre = met.groupBy("key").agg(_heaviest())
             pairs = _nearest(met.join(centre, "key").filter("id <> c"))
         else:
             rows = materialize(_unsettled(met, roots), "unsettled")
             if rows.isEmpty():
                 break
             if step == "centre":
-                centre = rows.filter("root = low").groupBy("key").agg(F.min("id").alias("c"))
-                pairs = _nearest(rows.filter("root <> low").join(centre, "key"))
+                centre = rows.groupBy("key").agg(_heaviest(), F.max_by("root", F.struct("weight", "id")).alias("of"))
+                pairs = _nearest(rows.join(centre, "key").filter("root <> of"))
             else:
-                pairs = _possible(rows, found, sets.select("id", "n"), percent)
+                pairs = _possible(rows, sets.select("id", "n", "sketch"), percent)
             tried = _ordered(found).distinct()
             pairs = pairs.withColumns({"a": F.least("id", "c"), "b": F.greatest("id", "c")}).join(tried, ["a", "b"], "left_anti").select("id", "c")
         new = materialize(verified(pairs, sets, percent), f"verified-{step}")
