@@ -27,4 +27,6 @@ QUERIES = {
 
 ORACLE = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
+    "op9_near_dup": near_dup.OP9_SQL,
 }
