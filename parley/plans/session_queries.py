@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contact, text
-from ..operators import attribution, chatlog, people, roster
+from ..operators import attribution, categorize, chatlog, cleaner, people, roster, signals
 
 SPARK_SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 DUCK_SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
@@ -318,6 +318,44 @@ def display_names(spark, sf_dir):
     return raw.select("k", text.clean_display_name(F.col("raw")).alias("name"), text.clean_email(F.col("mail")).alias("email"))
 
 
+SAYINGS = ["i have paid for the program", "payment link not working", "what is the price", "no audio", "this is a scam", "what is a prompt?", "yes", "how to join the course"]
+SAID = "CASE user_id % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(SAYINGS)) + " END"
+EXPECTED = ["purchase intent high", "purchase intent high", "strong interest", "no clear intent", "negative engagement", "information seeking", "no clear intent", "purchase intent high"]
+PERSONS = "SELECT user_id, CAST(sum(CASE WHEN event_type NOT IN ('view', 'signup') AND user_id % 9 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY user_id"
+
+
+@query(
+    "engagement_category",
+    f"""WITH p AS ({PERSONS}) SELECT user_id, n AS n_msgs, CASE WHEN user_id % 10 = 3 THEN 'non attended' WHEN n = 0 THEN 'non chatted' ELSE CASE user_id % 8 {" ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(EXPECTED))} END END AS category FROM p""",
+)
+def engagement_category(spark, sf_dir):
+    """Signals of each person's messages, then the ladder of categories."""
+    events = table(spark, sf_dir, "events")
+    said = events.filter("event_type NOT IN ('view', 'signup') AND user_id % 9 <> 0").selectExpr("user_id", f"{SAID} AS m")
+    sums = signals.person_signals(said, "user_id", "m")
+    persons = events.select("user_id").distinct().join(sums, "user_id", "left")
+    facts = {"attended": F.col("user_id") % 10 != 3, "chatted": F.col("n_msgs").isNotNull(), "pct": F.lit(50.0), "cta": F.lit(None).cast("boolean"), "pricing": F.lit(False), "orphan": F.lit(False), "no_text": F.lit(False)}
+    facts |= {d: F.lit(0) for d in ("D1", "D3", "D4", "D5", "D7", "intent", "neg", "mean")}
+    return categorize.categorized(persons.withColumns(facts)).select("user_id", F.coalesce("n_msgs", F.lit(0)).cast("long").alias("n_msgs"), "category")
+
+
+RAW = ["readyyyyyy", "Yes yes yes yes", "what is the fees??", "MB MB MB", "hello!!! hello!!!", "can you tell me the duration", "10x  10 X 10x"]
+CLEAN = ["ready", "Yes", "what is the fees?", "MB", "hello!", "can you tell me the duration", "10x"]
+
+
+@query(
+    "cleaned_messages",
+    "WITH r AS (SELECT user_id, event_id % 7 AS k, min(event_id) AS a, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, CASE k " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLEAN)) + " END AS m FROM r) "
+    "SELECT user_id, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k IN (2, 5)), '') AS relevant, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k NOT IN (2, 4, 5)), '') || '' AS deleted, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS dup_removed FROM c WHERE k <> 4 GROUP BY user_id",
+)
+def cleaned_messages(spark, sf_dir):
+    """Messages of each person cleaned, without duplicates, split into relevant and ignorable."""
+    raw = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(RAW)) + " END AS m"
+    rows = table(spark, sf_dir, "events").filter("event_id % 7 <> 4").selectExpr("user_id", "event_id", raw)
+    out = cleaner.process_messages(rows, "user_id", "event_id", "m")
+    return out.select("user_id", "relevant", "deleted", F.col("raw").cast("long").alias("raw"), F.col("dup_removed").cast("long").alias("dup_removed"))
+
+
 @query(
     "engagement_results",
     f"""WITH {ATTR}, n AS (SELECT key_email, CAST(sum(n_lines) AS BIGINT) AS messages FROM att WHERE key_email IS NOT NULL GROUP BY key_email),
