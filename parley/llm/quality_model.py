@@ -89,7 +89,7 @@ class Trees:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Trees:
         share = float(y.mean()) if len(y) else 0.5
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             share = min(max(share, 1e-6), 1 - 1e-6)
             return cls(float(np.log(share / (1 - share))), np.zeros((0, 1), int), np.zeros((0, 1)), np.zeros((0, 2)))
         n, f = x.shape

@@ -23,8 +23,8 @@ from .labelled import first_rows, sample, with_scores
 SAMPLE, SAMPLE_CHARS = 6_000, 20_000
 THRESHOLD = 0.3
 BUCKETS, WIDTH, SIZES = 1 << 18, 4, (3, 4, 5, 6)
-STEPS, RATE, SCALE, DECAY = 70, 0.08, 120.0, 4e-5
-LEAST_DOCS, LEAST_SHARE = 5, 0.015
+STEPS, RATE, SCALE, DECAY = 140, 0.08, 120.0, 4e-6
+LEAST_DOCS, LEAST_SHARE = 5, 0.008
 EDGE = ".,;:!?#*$%&|<>\"'()[]{}"
 KINDS = 300_000
 PRIME = np.uint64(0x100000001B3)
@@ -96,7 +96,7 @@ class Bag:
     def fit(cls, texts: list[str], y: np.ndarray) -> Bag:
         share = float(y.mean()) if len(y) else 0.5
         bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             return cls(np.zeros(BUCKETS, np.float32), bias)
         number: dict[str, int] = {}
         doc, word, weight = [], [], []
