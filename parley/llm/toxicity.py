@@ -27,6 +27,8 @@ STEPS, RATE, SCALE, DECAY = 140, 0.08, 120.0, 4e-6
 LEAST_DOCS, LEAST_SHARE = 5, 0.008
 EDGE = ".,;:!?#*$%&|<>\"'()[]{}"
 KINDS = 300_000
+#: Words whose n-grams are made together when fitting.
+PART = 20_000
 PRIME = np.uint64(0x100000001B3)
 
 
@@ -98,30 +100,35 @@ class Bag:
         bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         if not len(y) or not 0 < share < 1:
             return cls(np.zeros(BUCKETS, np.float32), bias)
+        # Buckets that few documents have can only be learned by heart: they keep no vector.
         number: dict[str, int] = {}
+        in_docs = np.zeros(BUCKETS, np.int32)
         doc, word, weight = [], [], []
         for i, text in enumerate(texts):
             own: dict[str, int] = {}
             for w in words_of(text):
                 own[w] = own.get(w, 0) + 1
-            n = sum(own.values())
-            doc += [i] * len(own)
-            word += [number.setdefault(w, len(number)) for w in own]
-            weight += [SCALE * c / n for c in own.values()]
-        doc, word, weight = np.array(doc, np.int64), np.array(word, np.int64), np.array(weight)
-        buckets, owners = subwords(list(number))
-        inverse = 1 / np.maximum(np.bincount(owners, minlength=len(number)), 1)
-        # Buckets that few documents have can only be learned by heart: they keep no vector.
-        pairs = np.unique(doc * len(number) + word)
-        in_docs = np.zeros(BUCKETS, np.int64)
-        begin = np.searchsorted(owners, np.arange(len(number) + 1))
-        for i in range(len(y)):
-            mine = pairs[np.searchsorted(pairs, i * len(number)) : np.searchsorted(pairs, (i + 1) * len(number))] - i * len(number)
-            if len(mine):
-                in_docs[np.unique(np.concatenate([buckets[begin[w] : begin[w + 1]] for w in mine]))] += 1
-        common = in_docs[buckets] >= max(LEAST_DOCS, len(y) * LEAST_SHARE)
-        buckets, owners = buckets[common], owners[common]
+            if own:
+                doc.append(np.full(len(own), i, np.int32))
+                word.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
+                counts = np.array(list(own.values()), np.float32)
+                weight.append(SCALE * counts / counts.sum())
+                in_docs[np.unique(subwords(list(own))[0])] += 1
+        doc, word, weight = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (doc, word, weight))
+        often = in_docs >= max(LEAST_DOCS, len(y) * LEAST_SHARE)
+        words, buckets, owners, lengths = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), PART):
+            part = words[at : at + PART]
+            found, of = subwords(part)
+            lengths.append(np.bincount(of, minlength=len(part)))
+            keep = often[found]
+            buckets.append(found[keep].astype(np.int32))
+            owners.append((of[keep] + at).astype(np.int32))
+        buckets, owners = np.concatenate(buckets), np.concatenate(owners)
+        inverse = 1 / np.maximum(np.concatenate(lengths), 1)
         used, buckets = np.unique(buckets, return_inverse=True)
+        buckets = buckets.astype(np.int32)
+        del words
         rng = np.random.default_rng(7)
         embed, head, b = rng.normal(0, 0.05, (WIDTH, len(used))), rng.normal(0, 1, (WIDTH, 2)), np.array([0.0, bias])
         params, first, second = [embed, head, b], None, None
