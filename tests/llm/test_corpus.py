@@ -288,14 +288,14 @@ def labelled_docs(spark):
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdeinorst") for _ in range(rnd.randrange(3, 9))) for _ in range(300)]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(2000):
         own = [rnd.choice(words) for _ in range(rnd.randrange(30, 90))]
         bad, toxic = i % 5 == 0, i % 4 == 0
         if toxic:
             own[3] = own[17] = rnd.choice(["dreadfool", "dreadfools", "dreadfoolish"])
         rows.append((i, ("!! ".join(own).upper() if bad else " ".join(own))))
         labels.append((i, int(not bad), int(toxic)))
-    rows.append((600, " ".join(words[:40] + ["dreadfoolz"] * 2)))
+    rows.append((2000, " ".join(words[:40] + ["dreadfoolz"] * 2)))
     return spark.createDataFrame(rows + [(None, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
@@ -309,7 +309,7 @@ def test_classifiers_on_held_out_rows(labelled_docs, nothing, module, label, sco
     held = [r for r in rows if r["held_out"] and r[label] is not None]
     assert np.mean([r["predicted"] == r[label] for r in held]) > 0.95
     if label == "toxic":
-        assert next(r for r in rows if r["doc_id"] == 600)["predicted"] == 1  # a spelling that was never seen
+        assert next(r for r in rows if r["doc_id"] == 2000)["predicted"] == 1  # a spelling that was never seen
     empty = module.fit(nothing, labels.limit(0))
     assert score(nothing, empty).count() == 0 and score(docs.limit(3), empty).count() == 3
     assert labelled.sample(docs, labels, label, 10).count() <= 10
