@@ -26,7 +26,7 @@ from .common import Recent, blocks, documents, map_texts
 from .pretokens import Split, distinct, spread
 
 #: Distinct pre-tokens that a worker remembers, twice at most.
-KINDS = 250_000
+KINDS = 150_000
 #: Code points whose new pre-tokens are encoded together.
 CHUNK_CHARS = 16_000_000
 NO_PAIR = 1 << 30

@@ -14,7 +14,7 @@ from .common import Recent
 from .pretokens import Split
 
 #: Distinct pre-tokens that a worker remembers; about 150 bytes each.
-KINDS = 250_000
+KINDS = 150_000
 
 
 class Library:

@@ -26,7 +26,7 @@ BUCKETS, WIDTH, SIZES = 1 << 18, 4, (3, 4, 5, 6)
 STEPS, RATE, SCALE, DECAY = 140, 0.08, 120.0, 4e-6
 LEAST_DOCS, LEAST_SHARE = 5, 0.008
 EDGE = ".,;:!?#*$%&|<>\"'()[]{}"
-KINDS = 300_000
+KINDS = 200_000
 #: Words whose n-grams are made together when fitting.
 PART = 20_000
 PRIME = np.uint64(0x100000001B3)
