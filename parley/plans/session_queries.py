@@ -279,6 +279,20 @@ def chat_file_containment(spark, sf_dir):
     return chatlog.drop_contained(blocks, "room", "file", "norm")
 
 
+@query(
+    "chat_file_containment_all",
+    """WITH e AS (SELECT user_id % 5 AS room, event_id, event_id % 3 AS f FROM events), k AS (SELECT DISTINCT room, CASE WHEN f = 2 AND event_id % 7 = 0 THEN 'b' WHEN f = 2 THEN 'e' WHEN event_id % 2 = 0 THEN 'a' ELSE 'c' END AS file, event_id FROM e
+      UNION SELECT room, 'd', event_id FROM e WHERE f <> 2 AND event_id % 2 = 0 AND event_id % 10 <> 0), n AS (SELECT room, file, count(*) AS n_keys FROM k GROUP BY ALL) SELECT room, file, n_keys, file <> 'd' AS kept FROM n""",
+)
+def chat_file_containment_all(spark, sf_dir):
+    """Every event is in a file: those that ``chat_file_containment`` leaves out make file e."""
+    e = table(spark, sf_dir, "events").selectExpr("user_id % 5 AS room", "event_id", "event_id % 3 AS f")
+    own = e.selectExpr("room", "CASE WHEN f = 2 AND event_id % 7 = 0 THEN 'b' WHEN f = 2 THEN 'e' WHEN event_id % 2 = 0 THEN 'a' ELSE 'c' END AS file", "event_id")
+    copy = e.filter("f <> 2 AND event_id % 2 = 0 AND event_id % 10 <> 0").selectExpr("room", "'d' AS file", "event_id")
+    blocks = own.unionByName(copy).selectExpr("room", "file", "CAST(event_id AS INT) AS sec", "'n' AS norm", "array('x') AS lines")
+    return chatlog.drop_contained(blocks, "room", "file", "norm")
+
+
 @query("payload_dedup", "SELECT source, md5, doc_id FROM (SELECT source, md5(coalesce(text, '')) AS md5, doc_id, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def payload_dedup(spark, sf_dir):
     """The first upload of each payload: hashes are grouped, payloads are not moved."""
@@ -356,6 +370,19 @@ def cleaned_messages(spark, sf_dir):
     return out.select("user_id", "relevant", "deleted", F.col("raw").cast("long").alias("raw"), F.col("dup_removed").cast("long").alias("dup_removed"))
 
 
+@query(
+    "cleaned_messages_all",
+    "WITH r AS (SELECT user_id, event_id % 7 AS k, min(event_id) AS a, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, CASE k " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLEAN)) + " END AS m FROM r) "
+    "SELECT user_id, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k IN (2, 4, 5)), '') AS relevant, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k NOT IN (2, 4, 5)), '') AS deleted, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS dup_removed FROM c GROUP BY user_id",
+)
+def cleaned_messages_all(spark, sf_dir):
+    """``cleaned_messages`` over every event, the repeated 'hello!!!' included."""
+    raw = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(RAW)) + " END AS m"
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", raw)
+    out = cleaner.process_messages(rows, "user_id", "event_id", "m")
+    return out.select("user_id", "relevant", "deleted", F.col("raw").cast("long").alias("raw"), F.col("dup_removed").cast("long").alias("dup_removed"))
+
+
 @query(
     "engagement_results",
     f"""WITH {ATTR}, n AS (SELECT key_email, CAST(sum(n_lines) AS BIGINT) AS messages FROM att WHERE key_email IS NOT NULL GROUP BY key_email),
