@@ -25,8 +25,9 @@ from .common import blocks, documents, map_texts, text_list
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login")
-#: Words before an identifier, in lower, title and upper case; schemes.
+#: Words before an identifier, in any mix of cases; words that may stand between the two; schemes.
 CUES = ["account number", "account no", "account", "acct", "iban", "passport", "ssn", "tax id", "customer id", "policy number"]
+BETWEEN = ("number", "num", "no", "id")
 SCHEMES = ["http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://", "redis://"]
 
 DIGITS = frozenset("0123456789")
@@ -34,6 +35,7 @@ ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
+SIGNS = frozenset(" \t:=#.")
 Span = tuple[str, int, int]
 
 
@@ -47,8 +49,7 @@ def automaton() -> ahocorasick.Automaton:
     for s in SCHEMES:
         found.add_word(s, ("scheme", len(s)))
     for cue in CUES:
-        for form in (cue, cue.title(), cue.upper()):
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
@@ -113,11 +114,26 @@ def phone(text: str, plus: int) -> int:
     return end if end > plus + 3 and text[end - 1] in DIGITS else 0
 
 
+def lowered(text: str) -> str:
+    """The text with ASCII letters in lower case, of the same length."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def account(text: str, after_cue: int) -> tuple[int, int] | None:
-    """Behind a cue word: blanks, colons, signs and "is", then an identifier of 6 to 34 letters and digits with 4 digits."""
+    """Behind a cue word: blanks, colons, signs, a word such as "number" and "is", then an identifier of 6 to 34 letters and digits with 4 digits.
+
+    Where nothing follows that word, it is read as a part of the identifier.
+    """
     if text[after_cue : after_cue + 1] in ALNUM and after_cue < len(text):
         return None
-    at = run_end(text, after_cue, frozenset(" \t:=#."))
+    at = run_end(text, after_cue, SIGNS)
+    end = run_end(text, at, ALNUM) if at > after_cue else at
+    if 2 <= end - at <= 6 and text[at:end].lower() in BETWEEN and (more := run_end(text, end, SIGNS)) > end and (hit := identifier(text, more)):
+        return hit
+    return identifier(text, at)
+
+
+def identifier(text: str, at: int) -> tuple[int, int] | None:
     if text[at : at + 3].lower() == "is ":
         at = run_end(text, at + 3, frozenset(" :"))
     end = at
@@ -157,7 +173,7 @@ def spans(text: str) -> list[Span]:
     """All spans by start, then kind."""
     found: list[Span] = []
     free = dict.fromkeys(KINDS, 0)
-    for last, (anchor, size) in automaton().iter(text):
+    for last, (anchor, size) in automaton().iter(lowered(text)):
         at = last - size + 1
         if anchor == "digit":
             if at >= free["card"]:
@@ -187,7 +203,7 @@ def spans(text: str) -> list[Span]:
             if at >= free["account"] and (at == 0 or text[at - 1] not in ALNUM) and (hit := account(text, last + 1)):
                 found.append(("account", *hit))
                 free["account"] = hit[1]
-        elif at >= free["login"] and (hit := login(text, last + 1)):
+        elif text[at : last + 1].islower() and at >= free["login"] and (hit := login(text, last + 1)):
             found.append(("login", *hit))
             free["login"] = hit[1]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

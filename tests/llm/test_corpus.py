@@ -173,6 +173,16 @@ def test_pii(docs, nothing):
     assert pii.digest(nothing).count() == 0
 
 
+@pytest.mark.parametrize("cue", ["Account number: ", "account Number ", "ACCOUNT No. ", "Policy number ", "Tax ID ", "Customer ID: ", "customer ID no. ", "passport number: ", "Passport Number is ", "SSN no. ", "ssn num=", "aCCt id #"])
+def test_pii_cues_in_any_case(cue):
+    for before in ("", "İ ", "漢é "):
+        text = f"{before}{cue}12345678, x"
+        at = len(before + cue)
+        assert pii.spans(text) == [("account", at, at + 8)]
+    assert pii.redacted(f"My {cue}123-45-6789.") == f"My {cue}[ACCOUNT]."
+    assert pii.spans("Kelvin \u212a passport nonsense") == [] and pii.spans("Account ID-12345678") == [("account", 8, 19)]
+
+
 def test_exact_dedup(docs, nothing):
     rows = docs.select("doc_id", "text").collect()
     normal = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
