@@ -25,6 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("head title script style template noscript svg math object iframe audio video canvas datalist select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: Which open elements a start tag ends, and which elements keep it from looking further out.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -68,7 +69,13 @@ class Builder(HTMLParser):
                 # A row ends its cells, and so on outwards: look again from the new end.
                 return self._end(tags, walls)
 
+    def _end_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "li", "dd", "button", "object", "blockquote", "div", "section"})
         if tag in ENDS:
@@ -82,7 +89,11 @@ class Builder(HTMLParser):
             self._push(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math"):
+            self._end_head()
+            self.open[-1].parts.append(Node(tag, {}))
+        else:
+            self.handle_starttag(tag, attrs)
 
     def _push(self, node: Node) -> None:
         self.open[-1].parts.append(node)
@@ -91,6 +102,7 @@ class Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
+            self._end_head()
             self.open[-1].parts.append(Node("br", {}))
             return
         for i in range(len(self.open) - 1, 0, -1):
@@ -101,6 +113,8 @@ class Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip(" \t\n\r\f"):
+            self._end_head()
         self.open[-1].parts.append(data)
 
 
@@ -151,13 +165,20 @@ def plain(node: Node) -> str:
 
 
 def table(page: Page, node: Node, depth: int) -> None:
+    """Text and elements that stand outside rows come first, then captions and rows."""
     rows: list[list[str]] = []
+    captions: list[Node] = []
 
     def cells(part: Node) -> None:
         for p in part.parts:
-            if isinstance(p, str) or hidden(p):
+            if isinstance(p, str):
+                if p.strip(" \t\n\r\f"):
+                    page.text(p)
+            elif hidden(p):
                 continue
-            if p.tag == "tr":
+            elif p.tag == "caption":
+                captions.append(p)
+            elif p.tag == "tr":
                 row: list[str] = []
                 for c in p.parts:
                     if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c):
@@ -180,9 +201,11 @@ def table(page: Page, node: Node, depth: int) -> None:
                 cells(p)
             else:
                 render(page, p, depth + 1)
-                page.line()
 
     cells(node)
+    page.line() if page.prefix else page.blank()
+    for c in captions:
+        render(page, c, depth + 1)
     width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
     for r in rows:
         page.raw("  ".join(c.ljust(w) for c, w in zip(r, width)).rstrip())

@@ -333,6 +333,22 @@ def test_html():
     assert html_text.html_text("<p>open <b>bold</p></i> after <table><td>cell") == "open bold\n\nafter\n\ncell"
 
 
+def test_html_head_ends_without_a_tag():
+    for page in ("<p>text", "text", "<script>v</script><p>text", "<meta charset=x>text", "<div><p>text</div>", "<svg/>text"):
+        assert html_text.html_text(f"<html><head><title>t</title>{page}") == "text"
+    assert html_text.html_text("<head><title>t</title>\n<style>a</style></head><body><p>text") == "text"
+
+
+def test_html_text_between_rows_comes_before_the_table():
+    got = html_text.html_text("<p>a<table>one <b>two</b><caption>c</caption><tbody>three<tr><td>x<td>y</tbody></table>z")
+    assert got == "a\n\none twothree\n\nc\nx  y\n\nz"
+    assert html_text.html_text("<table><tr><td>x</td></tr>\n<tr><td>y</td></tr></table>") == "x\ny"
+
+
+def test_html_self_closed_pictures():
+    assert html_text.html_text("<p>a <svg/> b <math/> c <svg><path/><text>no</text></svg> d") == "a b c d"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>x", "c"), (2, None, "c"), (2, "", "c")], "page_id int, html string, text string")
     assert counted(html_text.extract(pages).collect()) == counted([(1, "x", 1, 1), (2, "", 0, 0), (2, "", 0, 0)])
