@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import chatlog
+
 GRACE = 90
 
 
+def _of_host(raw: str, norm: str, names: tuple[str, ...]) -> Column:
+    return F.coalesce(chatlog.is_host(F.col(raw), F.col(norm), names), F.lit(False))
+
+
+def without_hosts(blocks: DataFrame, raw: str = "sender", norm: str = "norm", names: tuple[str, ...] = chatlog.HOSTS) -> DataFrame:
+    """The blocks that are to be attributed: those of hosts and note takers are nobody's."""
+    return blocks.filter(~_of_host(raw, norm, names))
+
+
+def host_blocks(blocks: DataFrame, raw: str = "sender", norm: str = "norm", names: tuple[str, ...] = chatlog.HOSTS) -> DataFrame:
+    """room, host_blocks: how many blocks ``without_hosts`` leaves out, for every room of the blocks."""
+    return blocks.groupBy("room").agg(F.count_if(_of_host(raw, norm, names)).alias("host_blocks"))
+
+
 def candidates(segments: DataFrame) -> DataFrame:
     """room, norm, key_email, n: who can be meant by a name, and how many.  Reads room, norm, key_email."""
     each = segments.filter("key_email <> '' AND norm <> ''").select("room", "norm", "key_email").distinct()
@@ -70,6 +86,32 @@ def unattributed_pool(attributed: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.groupBy("room", "key_email").agg(F.sum("n_lines").alias("n_lines"), F.max("n").alias("n_candidates"))
 
 
+def unattributed_lines(attributed: DataFrame, segments: DataFrame) -> DataFrame:
+    """room, key_email, lines, n_candidates: the ambiguous messages themselves for every candidate, to be shown only.
+
+    Reads block_id and lines besides.  Lines are in order of the sender's first block, then of block and line.
+    """
+    mine = F.when(F.col("how") == "ambiguous", F.struct("block_id", "lines"))
+    names = attributed.groupBy("room", "norm").agg(F.min("block_id").alias("first"), F.array_sort(F.collect_list(mine)).alias("left")).filter("size(left) > 0")
+    said = names.select("room", "norm", "first", F.flatten(F.transform("left", lambda b: b["lines"])).alias("lines"))
+    rows = said.join(candidates(segments), ["room", "norm"])
+    pool = F.array_sort(F.collect_list(F.struct("first", "norm", "lines")))
+    return rows.groupBy("room", "key_email").agg(F.flatten(F.transform(pool, lambda p: p["lines"])).alias("lines"), F.max("n").alias("n_candidates"))
+
+
+def chatted_winners(blocks: DataFrame, winners: DataFrame) -> DataFrame:
+    """room, rec_key of the records whose name chatted, whoever the messages are attributed to (engine_chatted)."""
+    return winners.join(blocks.select("room", "norm").distinct(), ["room", "norm"], "left_semi").select("room", "rec_key").distinct()
+
+
+def session_counters(attributed: DataFrame, people: DataFrame, borrowed: DataFrame) -> DataFrame:
+    """One row: msg_key_not_in_people, lines of keys that are no person's (gk); phone_fallback_rows."""
+    known = people.select(F.col("gk").alias("key_email")).distinct()
+    lost = attributed.filter("key_email IS NOT NULL").join(known, "key_email", "left_anti")
+    lines = lost.agg(F.coalesce(F.sum("n_lines"), F.lit(0)).cast("long").alias("msg_key_not_in_people"))
+    return lines.crossJoin(borrowed.agg(F.count(F.lit(1)).alias("phone_fallback_rows")))
+
+
 def winners(records: DataFrame) -> DataFrame:
     """room, norm, rec_key: whose name it is: own names before aliases, then longest presence, then first record."""
     own = records.filter("attended_flag")
@@ -85,11 +127,20 @@ def phone_owners(phones: DataFrame, receivers: DataFrame) -> DataFrame:
 
     phones: room, key_email, phone.  receivers: room, key_email.
     """
-    own = phones.filter("phone <> ''").join(receivers.distinct(), ["room", "key_email"], "left_semi").select("room", "phone", "key_email").distinct()
-    rooms = own.groupBy("room", "phone").agg(F.count(F.lit(1)).alias("n"), F.min("key_email").alias("owner")).filter("n = 1")
+    rooms = _receivers_by_phone(phones, receivers).filter("n = 1")
     return rooms.groupBy("phone").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("owner")).filter("n = 1").select("phone", "owner")
 
 
+def phones_dropped_shared(phones: DataFrame, receivers: DataFrame) -> DataFrame:
+    """room, phones_dropped_shared: phones that several chat receivers of the room have, for rooms with a receiver's phone."""
+    return _receivers_by_phone(phones, receivers).groupBy("room").agg(F.count_if(F.col("n") > 1).alias("phones_dropped_shared"))
+
+
+def _receivers_by_phone(phones: DataFrame, receivers: DataFrame) -> DataFrame:
+    own = phones.filter("phone <> ''").join(receivers.distinct(), ["room", "key_email"], "left_semi").select("room", "phone", "key_email").distinct()
+    return own.groupBy("room", "phone").agg(F.count(F.lit(1)).alias("n"), F.min("key_email").alias("owner"))
+
+
 def phone_fallback(people: DataFrame, owners: DataFrame, with_blocks: DataFrame) -> DataFrame:
     """gk, borrowed_from: attended people without messages whose phone is that of one person who has some."""
     has = with_blocks.select("gk").distinct()

@@ -11,6 +11,15 @@ def room_key(key_email: Column, email: Column, rec_key: Column, room: Column) ->
     return F.when(key_email != "", key_email).when(email != "", F.concat(F.lit("em:"), email)).otherwise(F.concat(rec_key, F.lit("#"), room))
 
 
+def window(start: Column, offset: float | tuple[float, float] | None, minutes: float = 10) -> tuple[Column, Column]:
+    """Begin and end of a window: from ``offset`` minutes after the start for ``minutes``, or from one offset to the other; null without either."""
+    if offset is None:
+        return F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz")
+    low, high = offset if isinstance(offset, (tuple, list)) else (offset, offset + minutes)
+    after = lambda m: start + F.make_dt_interval(secs=F.lit(round(m * 60, 6)).cast("decimal(18,6)"))
+    return after(low), after(high)
+
+
 def present_in(segments: Column, low: Column, high: Column) -> Column:
     """Whether any (j, l) meets the window; null without a window or segments."""
     return F.when(low.isNotNull() & (F.size(segments) > 0), F.exists(segments, lambda s: (s["j"] <= high) & (s["l"] >= low)))

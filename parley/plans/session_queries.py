@@ -109,7 +109,8 @@ def window_attr(spark, sf_dir):
       count(*) FILTER (u) AS sender_unique, count(*) FILTER (w) AS sender_time_resolved, count(*) FILTER (a AND NOT w) AS sender_unresolved, count(*) FILTER (x) AS sender_no_csv_row FROM s GROUP BY room""",
 )
 def attribution_stats(spark, sf_dir):
-    return attribution.stats(attribution.attributed(chat(spark, sf_dir), segments(spark, sf_dir)))
+    said = attribution.without_hosts(chat(spark, sf_dir), raw="norm")
+    return attribution.stats(attribution.attributed(said, segments(spark, sf_dir)))
 
 
 @query("unmatched_senders", f"WITH {SEG}, {TALK} SELECT room, norm, count(*) AS n_blocks FROM chat b WHERE NOT EXISTS (SELECT 1 FROM seg s WHERE s.room = b.room AND s.norm = b.norm) GROUP BY room, norm")
@@ -127,6 +128,19 @@ def unattributed_pool(spark, sf_dir):
     return attribution.unattributed_pool(attribution.attributed(chat(spark, sf_dir), own), own)
 
 
+@query(
+    "unattributed_lines",
+    f"""WITH {ATTR}, f AS (SELECT room, norm, min(block_id) AS first FROM chat GROUP BY room, norm) SELECT c.room, c.key_email, string_agg('m' || att.block_id || '.' || u.k, ' / ' ORDER BY f.first, att.block_id, u.k) AS lines, CAST(max(c.n) AS BIGINT) AS n_candidates
+    FROM att JOIN c ON att.room = c.room AND att.norm = c.norm JOIN f ON att.room = f.room AND att.norm = f.norm JOIN (VALUES (1), (2), (3)) u(k) ON u.k <= att.n_lines WHERE how = 'ambiguous' GROUP BY c.room, c.key_email""",
+)
+def unattributed_lines(spark, sf_dir):
+    """The messages that ``unattributed_pool`` counts."""
+    own = segments(spark, sf_dir)
+    said = attribution.without_hosts(chat(spark, sf_dir), raw="norm").withColumn("lines", F.expr("transform(sequence(1, int(n_lines)), k -> 'm' || block_id || '.' || k)"))
+    rows = attribution.unattributed_lines(attribution.attributed(said, own), own)
+    return rows.withColumn("lines", F.array_join("lines", " / "))
+
+
 @query(
     "name_winner",
     f"""WITH {REC}, u AS (SELECT room, norm, 1 AS own, minutes, rec_ord, rec_key FROM rec WHERE attended_flag UNION ALL SELECT room, alias, 0, minutes, rec_ord, rec_key FROM rec WHERE attended_flag)
