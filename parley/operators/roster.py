@@ -9,16 +9,28 @@ from ..functions import contact, text
 
 EXACT_HEADER = "Attended,User Name (Original Name),First Name"
 NAME, EMAIL = "User Name (Original Name)", "Email"
-#: Cells of a line at most.
+#: Cells that are parsed at a time.
 CELLS = 40
+#: A cell from the comma before it: quoted with what is behind its end, or bare.
+CELL = ',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
 
 
 def csv_cells(line: Column) -> Column:
-    """The cells of one line; damage costs that line at most. NUL bytes go."""
+    """All cells of one line; damage costs that line at most. NUL bytes go."""
     schema = ", ".join(f"c{i} string" for i in range(CELLS))
-    row = F.from_csv(F.regexp_replace(line, "\\x00", ""), F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"})
+    clean = F.regexp_replace(line, "\\x00", "")
     n = F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
-    return F.slice(F.array(*(F.coalesce(row[f"c{i}"], F.lit("")) for i in range(CELLS))), F.lit(1), F.least(n, F.lit(CELLS)))
+
+    def parsed(part: Column) -> Column:
+        row = F.from_csv(part, F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"})
+        return F.array(*(F.coalesce(row[f"c{i}"], F.lit("")) for i in range(CELLS)))
+
+    def wide() -> Column:
+        cells = F.regexp_extract_all(F.concat(F.lit(","), clean), F.lit(CELL), F.lit(1))
+        first = F.sequence(F.lit(1), F.greatest(F.size(cells), F.lit(1)), F.lit(CELLS))
+        return F.flatten(F.transform(first, lambda i: parsed(F.array_join(F.slice(cells, i, F.lit(CELLS)), ","))))
+
+    return F.slice(F.when(n <= CELLS, parsed(clean)).otherwise(wide()), F.lit(1), n)
 
 
 def numbered_lines(files: DataFrame, text_col: str = "text") -> DataFrame:
@@ -46,7 +58,7 @@ def attendee_rows(lines: DataFrame, file: list[str]) -> DataFrame:
     body = named.filter((F.col("line_no") > F.col("head")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end")))).filter(F.col("cells")[0].isin("Yes", "No"))
     # A header that repeats a name takes the last cell of it.
     entries = F.transform("header", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("cells", i), F.lit("")).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.lit(CELLS)), lambda later: later["key"] == e["key"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     return body.select(*file, "line_no", F.map_from_entries(last).alias("cells"))
 
 

@@ -55,6 +55,19 @@ def test_members_roles_and_rosters(spark, tmp_path):
     assert people["ben@x.example"]["name"] == "Ben, K" and not people["cleo@x.example"]["attended_flag"]
 
 
+def test_cells_beyond_those_parsed_at_a_time_are_read(spark):
+    questions = [f'"Question {i}, or ""so"""' for i in range(100)]
+    answers = [f'"a{i}, b"' if i % 3 else "" for i in range(100)]
+    report = "Attendee Details,\n" + ",".join(["Attended,User Name (Original Name),First Name,Email", *questions, "Join Time,Leave Time,Country/Region Name"]) + "\n"
+    report += ",".join(['Yes,"Asha, R",A,asha@x.example', *answers, '"08/02/2026 10:50:00 AM","08/02/2026 11:20:00 AM",India']) + "\n"
+    lines = roster.numbered_lines(spark.createDataFrame([("f", report)], "file string, text string"))
+    rows = roster.attendee_rows(lines, ["file"])
+    cells = rows.first()["cells"]
+    assert len(cells) == 107 and all(cells[f'Question {i}, or "so"'] == (f"a{i}, b" if i % 3 else "") for i in range(100))
+    person = roster.records(roster.typed_rows(rows), ["file"]).first()
+    assert (person["seconds_present"], person["country"], person["name"]) == (1800, "India", "Asha, R")
+
+
 def test_chat_passes_midnight(spark):
     from parley.operators import chatlog
 
