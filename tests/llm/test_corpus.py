@@ -368,3 +368,49 @@ def test_pipeline(spark):
     assert docs.select(normal).distinct().count() == docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_near_dedup_keeps_the_least_id_of_each_group(docs):
+    want = collections.Counter({(i,): 1 if n else c for (i, n, least), c in near_groups(pairs(docs)).items() if not n or i == least})
+    assert counted(near_dup.near_dedup(docs).select("doc_id").collect()) == want
+
+
+def test_stage_functions_on_an_empty_table(labelled_docs, nothing):
+    model = quality_model.fit(*labelled_docs)
+    for f in (lambda d: quality_model.keep_good(d, model), exact_dedup.exact_dedup, near_dup.near_dedup, pii.redact):
+        assert f(nothing).columns == nothing.columns and f(nothing).count() == 0
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    after = lambda name, d: common.materialize(stages[name](spark, d, sf), "brute-stage")
+    held = lambda d: counted(pairs(d))
+
+    model = quality_model.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = after("quality", docs)
+    assert held(good) == counted((i, t) for i, t in pairs(docs) if model.score(quality_model.statistics([t]))[0] >= quality_model.THRESHOLD)
+
+    groups = collections.defaultdict(list)
+    for i, t in pairs(good):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((i, t))
+    distinct = after("exact_dedup", good)
+    assert held(distinct) == counted(min(v, key=lambda r: (-len(r[1]), r[0])) for v in groups.values())
+
+    least = {i: i if not n else root for i, n, root in near_groups(pairs(distinct))}
+    apart = after("near_dedup", distinct)
+    assert held(apart) == counted((i, t) for i, t in pairs(distinct) if least[i] == i)
+
+    clean = after("pii", apart)
+    assert held(clean) == counted((i, pii.redacted(t)) for i, t in pairs(apart))
+    assert clean.filter("n_chars <> length(text)").isEmpty()
+
+    library = Tokenizer.from_file(BPE)
+    ids = collections.defaultdict(list)
+    for r in sorted(stages["packing"](spark, clean, sf).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        ids[r["doc_id"]] += r["ids"]
+    assert ids == {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in pairs(clean)}
