@@ -1,33 +1,39 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax, trained jointly in numpy.
 
-A word, lower-cased and with marks at its ends taken off, is the mean of the vectors of its character n-grams (3 to 6, with
+A word, lower-cased and with marks at its ends taken off, is the mean of the vectors of its character n-grams (3 to 7, with
 word ends), hashed to ``BUCKETS``; a document is the mean of its words.  A misspelling that was never seen shares most of its
-n-grams with what was.  After training a word acts through one number, kept by workers for recent distinct words.
+n-grams with what was.  N-grams that tell nothing about the classes by themselves have no vector, so they are not learned by
+heart.  After training a word acts through one number, kept by workers for recent distinct words.
 
-Fitted in the driver on at most ``SAMPLE`` labelled rows that are not held out, of at most ``SAMPLE_CHARS`` each; scoring
-reads whole texts.
+Fitted in the driver on at most ``SAMPLE`` labelled rows that are not held out, the first by a hash, and as many of these as
+have ``SAMPLE_CHARS`` code points together (one text has a twentieth of that at most); scoring reads whole texts.
 
-Defined results: null, empty and wordless texts have the score of the bias alone; without labels of both kinds every score is
+Defined results: a very long text is scored whole, as one block; null, empty and wordless texts have the score of the bias alone; without labels of both kinds every score is
 the share of label 1, or 0.5 without labels; repeated rows are scored each; an empty table gives an empty table; further
 columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .common import Recent, documents, read_table
 from .labelled import first_rows, sample, with_scores
 
-SAMPLE, SAMPLE_CHARS = 6_000, 20_000
+SAMPLE, SAMPLE_CHARS = 6_000, 40_000_000
 THRESHOLD = 0.3
-BUCKETS, WIDTH, SIZES = 1 << 18, 4, (3, 4, 5, 6)
-STEPS, RATE, SCALE, DECAY = 140, 0.08, 120.0, 4e-6
-LEAST_DOCS, LEAST_SHARE = 5, 0.008
+BUCKETS, WIDTH, SIZES = 1 << 18, 4, (3, 4, 5, 6, 7)
+STEPS, RATE, SCALE = 150, 0.05, 120.0
+#: A bucket has a vector from this many standard deviations and documents on; the strongest ones have it in any case.
+DEVIATION, LEAST_DOCS, LEAST_BUCKETS = 6.0, 5, 200
 EDGE = ".,;:!?#*$%&|<>\"'()[]{}"
 KINDS = 200_000
-#: Words whose n-grams are made together when fitting.
+#: Words whose n-grams are made together.
 PART = 20_000
 PRIME = np.uint64(0x100000001B3)
 
@@ -69,6 +75,43 @@ def word_means(words: list[str], values: np.ndarray) -> np.ndarray:
     return np.bincount(owners, values[buckets], len(words)) / np.maximum(np.bincount(owners, minlength=len(words)), 1)
 
 
+def _pieces(words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each part of the words: where it begins, buckets, the index of the word of each, 1 / n-grams of each word."""
+    for at in range(0, len(words), PART):
+        part = words[at : at + PART]
+        found, of = subwords(part)
+        yield at, found, of, 1 / np.maximum(np.bincount(of, minlength=len(part)), 1)
+
+
+def word_shares(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, and for each document and word of it their indexes and the word's share of the document."""
+    number: dict[str, int] = {}
+    doc, word, share = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0)]
+    for i, text in enumerate(texts):
+        own = Counter(words_of(text))
+        if own:
+            counts = np.fromiter(own.values(), float, len(own))
+            doc.append(np.full(len(own), i, np.int32))
+            word.append(np.fromiter((number.setdefault(w, len(number)) for w in own), np.int32, len(own)))
+            share.append(counts / counts.sum())
+    return list(number), np.concatenate(doc), np.concatenate(word), np.concatenate(share)
+
+
+def telling(words: list[str], toxic: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """Which buckets get a vector: those whose words are far more or far less often in toxic documents than all words are.
+
+    ``toxic`` and ``every`` count each word's documents.  The rest could only be learned by heart.
+    """
+    of_toxic, n = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for at, found, of, _ in _pieces(words):
+        of_toxic += np.bincount(found, toxic[of + at], BUCKETS)
+        n += np.bincount(found, every[of + at], BUCKETS)
+    p = of_toxic.sum() / max(n.sum(), 1)
+    deviation = np.abs(of_toxic - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
+    deviation[n < LEAST_DOCS] = 0
+    return deviation >= max(min(DEVIATION, np.sort(deviation)[-LEAST_BUCKETS]), 1e-9)
+
+
 class Bag:
     """``effect``: what each bucket adds to the logit of label 1."""
 
@@ -98,67 +141,52 @@ class Bag:
     def fit(cls, texts: list[str], y: np.ndarray) -> Bag:
         share = float(y.mean()) if len(y) else 0.5
         bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-        if not len(y) or not 0 < share < 1:
-            return cls(np.zeros(BUCKETS, np.float32), bias)
-        # Buckets that few documents have can only be learned by heart: they keep no vector.
-        number: dict[str, int] = {}
-        in_docs = np.zeros(BUCKETS, np.int32)
-        doc, word, weight = [], [], []
-        for i, text in enumerate(texts):
-            own: dict[str, int] = {}
-            for w in words_of(text):
-                own[w] = own.get(w, 0) + 1
-            if own:
-                doc.append(np.full(len(own), i, np.int32))
-                word.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
-                counts = np.array(list(own.values()), np.float32)
-                weight.append(SCALE * counts / counts.sum())
-                in_docs[np.unique(subwords(list(own))[0])] += 1
-        doc, word, weight = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (doc, word, weight))
-        often = in_docs >= max(LEAST_DOCS, len(y) * LEAST_SHARE)
-        words, buckets, owners, lengths = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), PART):
-            part = words[at : at + PART]
-            found, of = subwords(part)
-            lengths.append(np.bincount(of, minlength=len(part)))
-            keep = often[found]
-            buckets.append(found[keep].astype(np.int32))
-            owners.append((of[keep] + at).astype(np.int32))
-        buckets, owners = np.concatenate(buckets), np.concatenate(owners)
-        inverse = 1 / np.maximum(np.concatenate(lengths), 1)
-        used, buckets = np.unique(buckets, return_inverse=True)
-        buckets = buckets.astype(np.int32)
-        del words
+        effect = np.zeros(BUCKETS, np.float32)
+        words, doc, word, part = word_shares(texts)
+        if not len(words) or not 0 < share < 1:
+            return cls(effect, bias)
+        told = telling(words, np.bincount(word, y[doc], len(words)), np.bincount(word, minlength=len(words)))
+        # A sparse table of documents by buckets, made once: the mean over words of the mean over n-grams.
+        buckets, owners, inverse = [], [], []
+        for at, found, of, inv in _pieces(words):
+            keep = told[found]
+            buckets.append(found[keep])
+            owners.append(of[keep] + at)
+            inverse.append(inv)
+        used, column = np.unique(np.concatenate(buckets), return_inverse=True)
+        begin = np.searchsorted(np.concatenate(owners), np.arange(len(words) + 1))
+        n = np.diff(begin)[word]
+        at = np.repeat(begin[word] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        cell, of = np.unique(np.repeat(doc, n).astype(np.int64) * len(used) + column[at], return_inverse=True)
+        value = np.bincount(of, np.repeat(part * np.concatenate(inverse)[word], n)) * SCALE
+        row, column = cell // max(len(used), 1), cell % max(len(used), 1)
+
         rng = np.random.default_rng(7)
-        embed, head, b = rng.normal(0, 0.05, (WIDTH, len(used))), rng.normal(0, 1, (WIDTH, 2)), np.array([0.0, bias])
-        params, first, second = [embed, head, b], None, None
+        params = [rng.normal(0, 0.05, (WIDTH, len(used))), rng.normal(0, 1, (WIDTH, 2)), np.array([0.0, bias])]
+        first, second = [0.0] * 3, [0.0] * 3
         for step in range(1, STEPS + 1):
             embed, head, b = params
-            vectors = [np.bincount(owners, e[buckets], len(number)) * inverse for e in embed]
-            hidden = np.stack([np.bincount(doc, v[word] * weight, len(y)) for v in vectors])
-            logits = hidden.T @ head + b
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            delta = p.copy()
-            delta[np.arange(len(y)), y.astype(int)] -= 1
-            delta /= len(y)
-            back = head @ delta.T
-            grads = [
-                np.stack([np.bincount(buckets, (np.bincount(word, r[doc] * weight, len(number)) * inverse)[owners], len(used)) for r in back]) + DECAY * embed,
-                hidden @ delta,
-                delta.sum(axis=0),
-            ]
-            first = [0.1 * g if first is None else 0.9 * m + 0.1 * g for g, m in zip(grads, first or grads)]
-            second = [0.01 * g**2 if second is None else 0.99 * v + 0.01 * g**2 for g, v in zip(grads, second or grads)]
-            params = [q - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) for q, m, v in zip(params, first, second)]
+            toward = head[:, 1] - head[:, 0]
+            # Of two classes the softmax is a logistic of the difference of their logits.
+            logit = np.bincount(row, (toward @ embed)[column] * value, len(y)) + b[1] - b[0]
+            delta = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(y)
+            back = np.bincount(column, delta[row] * value, len(used))
+            slope = embed @ back
+            grads = [np.outer(toward, back), np.stack([-slope, slope], axis=1), np.array([-delta.sum(), delta.sum()])]
+            for k, g in enumerate(grads):
+                first[k] = 0.9 * first[k] + 0.1 * g
+                second[k] = 0.99 * second[k] + 0.01 * g**2
+                params[k] = params[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
         embed, head, b = params
-        effect = np.zeros(BUCKETS, np.float32)
         effect[used] = (head[:, 1] - head[:, 0]) @ embed
         return cls(effect, float(b[1] - b[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Bag:
-    table = first_rows(sample(docs, labels, label, rows, chars, id_col, text_col), rows, id_col).toArrow()
+    own = first_rows(sample(docs, labels, label, rows, chars // 20, id_col, text_col), rows, id_col)
+    # At most ``rows`` rows: one task.
+    upto = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64(F.col(id_col)), id_col).rowsBetween(Window.unboundedPreceding, 0))
+    table = own.select("label", "text", upto.alias("upto")).filter(F.col("upto") <= chars).select("label", "text").toArrow()
     return Bag.fit(table.column("text").to_pylist(), np.array(table.column("label").to_pylist(), float))
 
 
