@@ -7,12 +7,16 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points that one block of a vectorised operator holds; a longer text is a block by itself.
 BLOCK_CHARS = 2_000_000
 
+#: A key is hot if more than one in so many rows have it.
+HOT = 1000
+
 #: The white space that all word contracts use, as a character class.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
@@ -27,23 +31,71 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The session's own folder below the one that driver and executors share, which spark.checkpoint.dir names.
+
+    Where that is unset a local session takes a temporary folder; a cluster has none that all machines see, so it is an error.
+    """
+    sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
-            return current.get()
-        folder = tempfile.mkdtemp(prefix="parley-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+            folder = current.get()
+        elif sc.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="parley-shared-")
+            sc.setCheckpointDir(folder)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{folder.rstrip('/')}/parley-{sc.applicationId}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors, runs the plan one time."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._parley_path = path
+    return table
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._parley_path)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(docs: DataFrame, column: str) -> DataFrame:
+    """The rows with an id each, the same at every reading.
+
+    The rows of Parquet files are known by file (128 bits of its path's hash) and place in it, so nothing is written; others
+    are written once with a number.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation"):
+        path = F.col("_metadata.file_path")
+        place = F.struct(F.xxhash64(path).alias("f"), F.xxhash64(F.reverse(path)).alias("g"), F.col("_metadata.row_index").alias("i"))
+        try:
+            return docs.select("*", place.alias(column))
+        except AnalysisException:
+            pass
+    return materialize(docs.withColumn(column, F.monotonically_increasing_id()), "rows")
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has each key once and in ``count`` the number of rows that have it.
+
+    Keys that more than a ``1 / HOT`` of the ``total`` rows have are fewer than ``HOT``: they are broadcast, so that their rows
+    stay where they are, and no task of the plain join for the rest has more than that share of one key.
+    """
+    hot = table.filter(F.col(count) > total // HOT)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(table.filter(F.col(count) <= total // HOT), keys))
 
 
 def blocks(texts: list[str], limit: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:

@@ -7,7 +7,8 @@ hash decides.  A 128-bit digest only routes blocks, so that their text is shuffl
 and not again to bring the names back; that it is injective on the corpus is checked, else another seed is taken.
 
 Each table of names is written to the shared folder, so a lost executor repeats part of one level at most.  Equal blocks
-meet as one row for each task; the joins that bring names back are plain ones, whose hot keys adaptive execution splits.
+meet as one row for each task; each name says how many rows it is for, and the joins that bring names back broadcast the few
+that a thousandth of the rows has (see ``join_counted``), so no hot key meets in one task.
 
 Defined results: null text counts as empty, all empty texts are equal; of repeated rows one stays; a null id is after all
 others; an empty table gives an empty table; further columns of the input are ignored by the groups and kept by the dedup.
@@ -18,18 +19,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, documents, materialize
+from .common import SPACE_CLASS, documents, drop, join_counted, materialize, numbered
 
 #: Characters of a block.
 BLOCK = 4096
 ROW = "__parley_row"
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """The same rows with a number each, written once so that the numbers stay."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-
-
 def _normal(text_col: str):
     return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_CLASS + "+", "")
 
@@ -43,17 +39,19 @@ def _digest(block, seed: int):
 
 
 def _named(distinct: DataFrame, by: str | list[str], keys: list[str], tag: str) -> DataFrame:
-    """The distinct rows' integer names: their places when sorted."""
-    return materialize(distinct.sortWithinPartitions(by).select(*keys, F.monotonically_increasing_id().alias("name")), tag)
+    """The distinct rows' integer names: their places when sorted.  ``n`` is how often each occurs."""
+    return materialize(distinct.sortWithinPartitions(by).select(*keys, "n", F.monotonically_increasing_id().alias("name")), tag)
 
 
 def _level_zero(docs: DataFrame, text_col: str, size: int, seed: int) -> DataFrame | None:
     """Names of the distinct blocks by digest, or None if two blocks share one."""
     block = docs.select(_normal(text_col).alias("norm")).select(F.explode(_blocks(size)).alias("block"))
-    found = block.select("block", _digest(F.col("block"), seed).alias("d")).select("d.h1", "d.h2", "block").distinct()
+    found = block.select("block", _digest(F.col("block"), seed).alias("d")).groupBy("d.h1", "d.h2", "block").agg(F.count(F.lit(1)).alias("n"))
     names = _named(found, "block", ["h1", "h2"], "block-names")
-    clash = names.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return names if clash.isEmpty() else None
+    if names.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").isEmpty():
+        return names
+    drop(names)
+    return None
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -64,40 +62,45 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         seed += 1
     text = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), _normal(text_col).alias("norm"))
     base = materialize(text.select("row", "id", "points", F.sha2("norm", 256).alias("sha"), F.transform(_blocks(block), lambda b: _digest(b, seed)).alias("d")), "documents")
-    most = base.agg(F.max(F.size("d"))).first()[0] or 1
+    rows, total, most = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("d")), F.lit(0)), F.coalesce(F.max(F.size("d")), F.lit(1))).first()
 
-    parts = base.select("row", F.size("d").alias("n"), F.posexplode("d").alias("at", "d")).select("row", "n", "at", "d.h1", "d.h2")
-    parts = parts.join(names, ["h1", "h2"]).select("row", "n", "at", "name")
-    done, level = [], 0
+    parts = base.select("row", F.size("d").alias("k"), F.posexplode("d").alias("at", "d")).select("row", "k", "at", "d.h1", "d.h2")
+    parts = join_counted(parts, names, ["h1", "h2"], "n", total).select("row", "k", "at", "name")
+    done, spent, level = [], [], 0
     while True:
-        if most > 1:
-            parts = materialize(parts, f"level-{level}")
-        done.append(parts.filter("n = 1").select("row", F.lit(level).alias("level"), "name"))
+        # The last level is read by the result; every other one by the next level too.
+        parts = materialize(parts, f"level-{level}")
+        spent.append(parts)
+        done.append(parts.filter("k = 1").select("row", F.lit(level).alias("level"), "name"))
         if most == 1:
             break
         half = F.floor(F.col("at") / 2).cast("int")
         side = lambda k: F.max(F.when(F.col("at") % 2 == k, F.col("name")))
-        pairs = parts.filter("n > 1").groupBy("row", ((F.col("n") + 1) / 2).cast("int").alias("n"), half.alias("at")).agg(side(0).alias("l"), F.coalesce(side(1), F.lit(-1)).alias("r"))
-        names = _named(pairs.select("l", "r").distinct(), ["l", "r"], ["l", "r"], f"pair-names-{level}")
-        parts = pairs.join(names, ["l", "r"]).select("row", "n", "at", "name")
+        pairs = parts.filter("k > 1").groupBy("row", ((F.col("k") + 1) / 2).cast("int").alias("k"), half.alias("at")).agg(side(0).alias("l"), F.coalesce(side(1), F.lit(-1)).alias("r"))
+        pairs = materialize(pairs, f"pairs-{level}")
+        spent.append(pairs)
+        drop(names)
+        names = _named(pairs.groupBy("l", "r").agg(F.count(F.lit(1)).alias("n")), ["l", "r"], ["l", "r"], f"pair-names-{level}")
+        parts = join_counted(pairs, names, ["l", "r"], "n", pairs.count()).select("row", "k", "at", "name")
         most, level = (most + 1) // 2, level + 1
 
     one = done[0]
     for more in done[1:]:
         one = one.unionByName(more)
-    own = base.select("row", "id", "points", "sha").join(one, "row")
+    own = materialize(base.select("row", "id", "points", "sha").join(one, "row"), "named")
+    drop(base, names, *spent)
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    groups = own.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best)
-    out = own.select("row", "id", "sha", "level", "name").join(groups, ["level", "name"])
+    groups = materialize(own.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), best), "groups")
+    out = join_counted(own.select("row", "id", "sha", "level", "name"), groups, ["level", "name"], "group_size", rows)
     columns = [F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256")]
     return out.select(*columns, *([F.col("row").alias(row_col)] if row_col else []))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = with_rows(docs)
-    kept = exact_groups(numbered, id_col, text_col, ROW).filter("kept").select(ROW)
-    return numbered.join(kept, ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = numbered(docs, ROW)
+    kept = exact_groups(own, id_col, text_col, ROW).filter("kept").select(ROW)
+    return own.join(kept, ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

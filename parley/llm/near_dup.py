@@ -25,17 +25,18 @@ gives an empty table; further columns of the input are ignored by the join and k
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, map_texts, materialize, text_list
+from .common import blocks, documents, drop, join_counted, map_texts, materialize, numbered, text_list
 from .components import components
-from .exact_dedup import ROW, with_rows
+from .exact_dedup import ROW
 from .pretokens import powers
 
 WORDS, PERCENT = 5, 80
@@ -46,6 +47,10 @@ SAMPLE, SAMPLE_SIZE, COMMON, COMMON_MOST = 4096, 20_000, 4, 200_000
 PARTS, LEAST_PARTS = 0.45, 8
 #: 64-bit words of the short sketch of a whole set.
 SKETCH_WORDS = 8
+#: Rows on a side of a square of rows that are compared with each other.
+SQUARE = 1024
+#: Clashes of 64-bit names that workers are told of; so many come at 6e11 classes.
+CLASHES = 10_000
 BLOCK = 1_000_000
 SEEN = 200_000
 
@@ -176,23 +181,36 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, words: int, keep:
     return map_texts(docs, [id_col, *keep], text_col, "n_shingles long, f1 long, f2 long", make, BLOCK)
 
 
-def common_shingles(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """Shingles of several classes in a bounded sample of them."""
-    own = classes.filter(F.col("doc").isNotNull() & F.col("n_shingles").between(1, SAMPLE_SIZE)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(own.select("doc")), "doc").dropDuplicates(["doc"])
+def _of_sample(docs: DataFrame, own: DataFrame, text_col: str, words: int, columns: str, make: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """A column of longs that ``make`` gives for the sets of the rows that ``own`` names."""
+    rows = docs.select(ROW, F.col(text_col).alias("text")).join(F.broadcast(own), ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_list(batch)
             for a, b in blocks(texts, BLOCK):
-                sets = [s for s in shingle_sets(texts[a:b], words) if len(s) <= SAMPLE_SIZE]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["s"])
+                made = make([s for s in shingle_sets(texts[a:b], words) if 0 < len(s) <= SAMPLE_SIZE])
+                yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=[columns.split()[0]])
 
-    counts = rows.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
-    found = counts.orderBy(F.desc("n"), "s").limit(COMMON_MOST).select("s").toArrow().column("s").to_numpy()
+    return rows.select("text").mapInArrow(run, columns)
+
+
+def _frequent(values: DataFrame, column: str, most: int) -> np.ndarray:
+    counts = values.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), column).limit(most).select(column).toArrow().column(column).to_numpy()
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
+def sampled(docs: DataFrame, classes: DataFrame, text_col: str, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, and keys, that several classes in a bounded sample of them have."""
+    own = materialize(classes.filter(F.col("n_shingles") <= SAMPLE_SIZE).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(ROW), "sample")
+    none = [np.zeros(0, np.uint64)]
+    common = _frequent(_of_sample(docs, own, text_col, words, "s long", lambda sets: np.concatenate(none + sets)), "s", COMMON_MOST)
+    hot = _frequent(_of_sample(docs, own, text_col, words, "k long", lambda sets: np.concatenate(none + [np.unique(emitted(s, common, percent)) for s in sets])), "k", COMMON_MOST)
+    drop(own)
+    return common, hot
+
+
 def part_keys(docs: DataFrame, text_col: str, words: int, percent: int, common: np.ndarray, clashing: frozenset) -> DataFrame:
     """key, id of every class's emitted parts; copies within a task emit once."""
 
@@ -219,13 +237,23 @@ def part_keys(docs: DataFrame, text_col: str, words: int, percent: int, common:
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "key long, id long")
 
 
-def meeting(keys: DataFrame) -> DataFrame:
-    """The rows whose key some other id has, without repeats: one shuffle, one sort, and a look at the neighbours."""
+def meeting(keys: DataFrame, hot: np.ndarray) -> DataFrame:
+    """The rows whose key some other id has, without repeats: one shuffle, one sort, and a look at the neighbours.
+
+    ``hot`` keys are known to have several ids, so all their rows stay and need not be neighbours: they are dealt by id.
+    """
+    known = pa.array(hot.view(np.int64))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_hot = pc.is_in(batch.column(0), known)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(is_hot, batch.column(1), pa.scalar(0, pa.int64()))], names=["key", "id", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of one key are consecutive, sorted by id.  The last row waits for the next batch.
         key, ident = np.zeros(0, np.int64), np.zeros(0, np.int64)
         before = None  # the key of the row ahead of those at hand
+        stays = hot.view(np.int64)
         for batch in batches:
             key = np.concatenate([key, batch.column(0).to_numpy()])
             ident = np.concatenate([ident, batch.column(1).to_numpy()])
@@ -233,46 +261,56 @@ def meeting(keys: DataFrame) -> DataFrame:
             key, ident = key[new], ident[new]
             if len(key) > 1:
                 same = key[1:] == key[:-1]
-                keep = np.append(key[0] == before, same[:-1]) | same
+                keep = (np.append(key[0] == before, same[:-1]) | same) | np.isin(key[:-1], stays)
                 yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep]), pa.array(ident[:-1][keep])], names=["key", "id"])
                 before, key, ident = key[-2], key[-1:], ident[-1:]
-        if len(key) and key[0] == before:
+        if len(key) and (key[0] == before or np.isin(key[0], stays)):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident)], names=["key", "id"])
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, id long")
+    dealt = keys.mapInArrow(deal, "key long, id long, salt long").repartition(n, "key", "salt").sortWithinPartitions("key", "id")
+    return dealt.select("key", "id").mapInArrow(run, "key long, id long")
 
 
-def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id, n, s (the set) of the wanted classes, read from one document of each."""
-    own = classes.join(wanted, "id", "left_semi").select("id", "f1", "f2", "doc")
-    text = docs.select(F.col(id_col).alias("doc_"), F.col(text_col).alias("text"))
-    rows = text.join(own, F.col("doc_").eqNullSafe(F.col("doc"))).select("id", "f1", "f2", "text")
+def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
+    """id, n, s (the set) and sketch of the wanted classes, read from one row of each."""
+    own = classes.join(wanted, "id", "left_semi").select("id", ROW)
+    rows = docs.select(ROW, F.col(text_col).alias("text")).join(own, ROW).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_list(batch)
             for a, b in blocks(texts, BLOCK):
-                sets = shingle_sets(texts[a:b], words)
-                part = batch.slice(a, b - a)
-                right = (set_names(sets) == np.stack([part.column(1).to_numpy(), part.column(2).to_numpy()], axis=1)).all(axis=1)
-                sets = [s.view(np.int64) for s, ok in zip(sets, right) if ok]
+                sets = [s.view(np.int64) for s in shingle_sets(texts[a:b], words)]
                 size = np.fromiter(map(len, sets), np.int32, len(sets))
                 values = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(size, dtype=np.int32))), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(right)), pa.array(size), values, short_sketches(sets)], names=["id", "n", "s", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), values, short_sketches(sets)], names=["id", "n", "s", "sketch"])
 
-    # An id that several rows have may give a class twice.
-    found = rows.mapInArrow(run, "id long, n int, s array<long>, sketch array<long>")
-    return found.groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "s", "sketch")))
+    return rows.mapInArrow(run, "id long, n int, s array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, c) with ``linked``."""
+    """The pairs (id, c) with ``linked``.
+
+    Pairs whose sketches rule a link out are told without their sets; the set of c is read only for ids that are some c.
+    """
+    short = sets.select("id", "n", "sketch")
+    known = pairs.join(short.toDF("id", "n1", "k1"), "id").join(short.toDF("c", "n2", "k2"), "c")
+    known = materialize(known.select("id", "c", _may_link("n1", "k1", "n2", "k2", percent).alias("may")), "may-link")
+    may = known.filter("may").select("id", "c")
     left = sets.select("id", F.col("n").alias("n1"), F.col("s").alias("s1"))
-    right = sets.select(F.col("id").alias("c"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-    rows = pairs.join(left, "id").join(right, "c").select("id", "c", "n1", "n2", F.size(F.array_intersect("s1", "s2")).alias("i"))
+    right = sets.select(F.col("id").alias("c"), F.col("n").alias("n2"), F.col("s").alias("s2")).join(may.select("c").distinct(), "c", "left_semi")
+    rows = may.join(left, "id").join(right, "c").select("id", "c", "n1", "n2", F.size(F.array_intersect("s1", "s2")).alias("i"))
     linked = 100 * F.col("i") >= percent * (F.col("n1") + F.col("n2") - F.col("i"))
-    return rows.select("id", "c", linked.alias("linked"))
+    return rows.select("id", "c", linked.alias("linked")).unionByName(known.filter("NOT may").select("id", "c", F.lit(False).alias("linked")))
+
+
+def _may_link(n1: str, k1: str, n2: str, k2: str, percent: int) -> Column:
+    """Sets that link differ by (|A| + |B|) (100 - percent) / (100 + percent) at most, and the Hamming distance of their short
+    sketches is no more than that."""
+    differ = [F.bit_count(F.get(k1, F.lit(i)).bitwiseXOR(F.get(k2, F.lit(i)))) for i in range(SKETCH_WORDS)]
+    near = sum(differ[1:], differ[0]) * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & near
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -285,96 +323,124 @@ def _nearest(rows: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.max_by("c", F.struct("n", "c")).alias("c"))
 
 
-def _weighed(met: DataFrame) -> DataFrame:
-    """The rows with ``weight``: how many rows an id meets over all its keys, most for what a group was copied from."""
-    size = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    weight = met.join(size, "key").groupBy("id").agg(F.sum("size").alias("weight"))
-    return met.join(weight, "id").select("key", "id", "weight")
+def _weighed(met: DataFrame, total: int) -> DataFrame:
+    """key, id, weight (how many rows an id meets over all its keys, most for what a group was copied from)."""
+    size = materialize(met.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key-sizes")
+    weight = join_counted(met, size, ["key"], "size", total).groupBy("id").agg(F.sum("size").alias("weight"))
+    rows = materialize(met.join(weight, "id").select("key", "id", "weight"), "weighed")
+    drop(size)
+    return rows
 
 
-def _heaviest() -> Column:
-    return F.max_by("id", F.struct("weight", "id")).alias("c")
+def _with_centres(rows: DataFrame, total: int, *also: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows with c, their key's heaviest id; and the table of the keys' centres."""
+    heaviest = F.struct("weight", "id")
+    centre = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max_by("id", heaviest).alias("c"), *(F.max_by(x, heaviest).alias("of") for x in also)), "centres")
+    return join_counted(rows, centre, ["key"], "size", total), centre
 
 
-def _unsettled(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, id, weight, root of the rows whose key holds several components."""
-    own = met.join(roots, "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root"))
-    open_keys = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return own.join(open_keys, "key", "left_semi")
+def _unsettled(met: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """key, id, weight, root, rows (of the key) of the rows whose key holds several components."""
+    own = materialize(met.join(roots.select("id", "root"), "id", "left").select("key", "id", "weight", F.coalesce("root", "id").alias("root")), "rooted")
+    per_key = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("rows"))
+    open_keys = materialize(per_key.filter("low <> high").select("key", "rows"), "open-keys")
+    rows = materialize(join_counted(own, open_keys, ["key"], "rows", total), "unsettled")
+    drop(own, open_keys)
+    return rows
 
 
 def _possible(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """id, c: the pairs of different components that meet and whose sketches allow a link.
 
-    Sets that link differ by (|A| + |B|) (100 - percent) / (100 + percent) at most, and the Hamming distance of their short
-    sketches is no more than that: what only resembles a large group falls within the join, before a row is made.
+    A key's rows are dealt into squares of at most SQUARE rows a side, so that no task compares all rows of a frequent key;
+    what only resembles a large group falls within the join, before a row is made.
     """
-    full = materialize(rows.select("key", "id", "root").join(sketches, "id"), "unsettled-all")
-    a, b = full.alias("a"), full.alias("b")
-    distance = sum((F.bit_count(F.get("a.sketch", F.lit(i)).bitwiseXOR(F.get("b.sketch", F.lit(i)))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.get("a.sketch", F.lit(0)).bitwiseXOR(F.get("b.sketch", F.lit(0)))))
-    near = distance * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
-    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.root") != F.col("b.root")) & fits & near
+    own = rows.join(sketches, "id").withColumn("sides", F.ceil(F.col("rows") / SQUARE).cast("int"))
+    own = own.withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    other = F.sequence(F.lit(0), F.col("sides") - 1)
+    dealt = own.select("key", "id", "root", "n", "sketch", "side", F.explode(other).alias("other"))
+    dealt = materialize(dealt.select("key", "id", "root", "n", "sketch", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high")), "squares")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    # Within a square of two sides each pair has a row of either; on the diagonal the lesser id goes first.
+    first = (F.col("a.side") < F.col("b.side")) | ((F.col("a.low") == F.col("a.high")) & (F.col("a.id") < F.col("b.id")))
+    same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("key", "low", "high")]
+    on = same[0] & same[1] & same[2] & first & (F.col("a.root") != F.col("b.root")) & _may_link("a.n", "a.sketch", "b.n", "b.sketch", percent)
     return a.join(b, on).select(F.col("a.id").alias("id"), F.col("b.id").alias("c")).distinct()
 
 
 def class_roots(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """id, root of the classes that link with another."""
-    found, roots = None, None
-    met = materialize(_weighed(met), "weighed")
+    found, roots, centre, spent = None, None, None, []
+    total = met.count()
+    met = _weighed(met, total)
+    spent.append(met)
     for step in ("nearest", "centre", "all"):
         if step == "nearest":
-            centre = met.groupBy("key").agg(_heaviest())
-            pairs = _nearest(met.join(centre, "key").filter("id <> c"))
+            pairs, centre = _with_centres(met, total)
+            pairs = _nearest(pairs.filter("id <> c"))
         else:
-            rows = materialize(_unsettled(met, roots), "unsettled")
+            rows = _unsettled(met, roots, total)
+            spent.append(rows)
             if rows.isEmpty():
                 break
             if step == "centre":
-                centre = rows.groupBy("key").agg(_heaviest(), F.max_by("root", F.struct("weight", "id")).alias("of"))
-                pairs = _nearest(rows.join(centre, "key").filter("root <> of"))
+                pairs, centre = _with_centres(rows, total, F.col("root"))
+                pairs = _nearest(pairs.filter("root <> of"))
             else:
-                pairs = _possible(rows, sets.select("id", "n", "sketch"), percent)
+                pairs, centre = _possible(rows, sets.select("id", "n", "sketch"), percent), None
             tried = _ordered(found).distinct()
             pairs = pairs.withColumns({"a": F.least("id", "c"), "b": F.greatest("id", "c")}).join(tried, ["a", "b"], "left_anti").select("id", "c")
+        pairs = materialize(pairs, f"pairs-{step}")
+        drop(centre, roots)
         new = materialize(verified(pairs, sets, percent), f"verified-{step}")
+        drop(pairs)
+        spent.append(new)
         found = new if found is None else found.unionByName(new)
         roots = components(_ordered(found.filter("linked")))
+    drop(*spent)
     return roots
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """``id_col``, n_shingles, component_id for each row (and ``row_col`` if there is one)."""
-    keep = [row_col] if row_col else []
-    rows = materialize(document_sets(docs, id_col, text_col, words, keep), "document-sets")
+    own = docs.withColumnRenamed(row_col, ROW) if row_col else numbered(docs, ROW)
+    rows = materialize(document_sets(own, id_col, text_col, words, [ROW]), "document-sets")
     # A class is known by one of its name's longs: the first, unless another class has that too.
-    named = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min(id_col).alias("doc"), F.first("n_shingles").alias("n_shingles"))
-    clash = [r[0] for r in named.groupBy("f1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(10_001).collect()]
-    if len(clash) > 10_000:
+    named = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.min(ROW).alias(ROW), F.min(id_col).alias("doc"), F.first("n_shingles").alias("n_shingles"))
+    named = materialize(named, "named-sets")
+    clash = [r[0] for r in named.groupBy("f1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(CLASHES + 1).collect()]
+    if len(clash) > CLASHES:
         raise ValueError("more classes than 64-bit names can tell apart")
     ident = F.when(F.col("f1").isin(clash), F.col("f2")).otherwise(F.col("f1")) if clash else F.col("f1")
-    classes = materialize(named.withColumn("id", ident), "classes")
+    classes = named.withColumn("id", ident)
 
-    common = common_shingles(docs, classes, id_col, text_col, words)
-    met = materialize(meeting(part_keys(docs, text_col, words, percent, common, frozenset(clash))), "meeting")
-    sets = materialize(class_sets(docs, classes, met.select("id").distinct(), id_col, text_col, words), "class-sets")
+    common, hot = sampled(own, classes, text_col, words, percent)
+    met = materialize(meeting(part_keys(own, text_col, words, percent, common, frozenset(clash)), hot), "meeting")
+    sets = materialize(class_sets(own, classes, met.select("id").distinct(), text_col, words), "class-sets")
     roots = class_roots(met, sets, percent)
-
-    with_root = classes.join(roots, "id", "left").select("id", "doc", F.coalesce("root", "id").alias("root"))
-    least = with_root.groupBy("root").agg(F.min("doc").alias("component"))
-    names = with_root.join(least, "root").select("id", "component")
-    own = rows.withColumn("id", F.when(F.col("n_shingles") > 0, ident)).join(names, "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col(id_col))
-    return own.select(id_col, "n_shingles", component.alias("component_id"), *keep)
+    drop(met, sets)
+
+    with_root = classes.join(roots.select("id", "root"), "id", "left").select("f1", "f2", "doc", F.coalesce("root", "id").alias("root"))
+    least = with_root.groupBy("root").agg(F.min("doc").alias("component"), F.count(F.lit(1)).alias("n"))
+    # Only what a link or a repeated set could change goes through a join; so no class of thousands meets in one task.
+    sized = rows.filter("n_shingles > 0").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("copies"))
+    names = with_root.join(least, "root").join(sized, ["f1", "f2"]).select("f1", "f2", "component", "copies")
+    names = materialize(names, "components")
+    drop(named, roots)
+    total = rows.count()
+    found = join_counted(rows.filter("n_shingles > 0"), names, ["f1", "f2"], "copies", total).drop("copies")
+    alone = rows.filter("n_shingles = 0").withColumn("component", F.col(id_col))
+    out = found.unionByName(alone).select(id_col, "n_shingles", F.col("component").alias("component_id"), ROW)
+    return out.withColumnRenamed(ROW, row_col) if row_col else out.drop(ROW)
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, the one with the least id, and all rows that link with nothing; all columns stay."""
-    numbered = with_rows(docs)
-    groups = near_groups(numbered, words, percent, id_col, text_col, ROW)
+    own = numbered(docs, ROW)
+    groups = materialize(near_groups(own, words, percent, id_col, text_col, ROW), "near-groups")
     alone = groups.filter("n_shingles = 0").select(ROW)
     best = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by(ROW, F.struct(F.col(id_col).isNull(), id_col, ROW)).alias(ROW)).select(ROW)
-    return numbered.join(alone.unionByName(best), ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return own.join(alone.unionByName(best), ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
