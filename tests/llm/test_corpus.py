@@ -346,12 +346,93 @@ def test_html_text_between_rows_comes_before_the_table():
 
 
 def test_html_self_closed_pictures():
-    assert html_text.html_text("<p>a <svg/> b <math/> c <svg><path/><text>no</text></svg> d") == "a b c d"
+    assert html_text.html_text("<p>a <svg/> b <math/> c <svg><title>no</title><path/><text>yes</text></svg> d") == "a b c yes d"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<ol start='²'><li>a</ol>", "1. a"),
+        ("<ol start='--5'><li>q</ol>", "1. q"),
+        ("<ol reversed><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n8. c"),
+        ("<ol type=i><li>a<li>b</ol>", "i. a\nii. b"),
+        ("<table><tr><td colspan='²'>x<td>y</table>", "x  y"),
+        ("<table><tr><td colspan=1000>head<tr><td>a<td>b<td>c</table>", "head\na  b  c"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>漢字<td>z</table>", "a     b\n      c\n漢字  z"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>c<tr><td>d<td><table><tr><td>1<td>2<tr><td>3<td>4</table></table>", "- a  c\n- b\nd    1  2\n     3  4"),
+        ("<table>loose<tr><td>x</table>", "loose\n\nx"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b></div>", "b"),
+        ("<div hidden>a</div><div hidden style='display:block'>b</div>", "b"),
+        ("<details>x<summary>s</summary>y</details>z<details open>x<summary>s</summary></details>", "s\nz\nx\ns"),
+        ("<select><option>a<option selected>b</select> <select><option disabled>c<option>d</select>", "b d"),
+        ("<select multiple><optgroup label=g><option>a<option>b</select>", "g\na\nb"),
+        ("<div>" * 250 + "<script>var a=1;</script><div hidden>secret</div>x", "x"),
+        ("<table><tr><td>" * 500 + "deep", "deep"),
+        ("<table><tr><td>a<td>" * 30 + "deep", None),
+        ("<![foo[ x ]]>y<!-- z", "y"),
+        ("a < b <i", "a < b"),
+    ],
+)
+def test_html_pages(page, text):
+    got = html_text.html_text(page)
+    assert got == text if text is not None else got.split() == ["a"] * 30 + ["deep"]
+
+
+def test_html_against_a_naive_renderer():
+    """Random trees: the words of the page in order are those that a plain recursion finds visible."""
+    rnd, tags = random.Random(9), ["div", "p", "span", "ul", "blockquote", "section", "b", "table", "details", "h2"]
+
+    def grow(depth, seen):
+        html, words = "", []
+        for _ in range(rnd.randrange(1, 4)):
+            if depth == 0 or rnd.random() < 0.4:
+                word = f"w{rnd.randrange(1000)}"
+                html += f" {word} "
+                words += [word] if seen else []
+                continue
+            tag, style = rnd.choice(tags), rnd.choice(["", "", "", " hidden", " style='display:none'", " style='visibility:hidden'", " style='VISIBILITY: visible !important'"])
+            shown = True if "visible" in style else seen and "visibility" not in style
+            if tag == "p":  # nothing that ends a paragraph
+                inner, own = f" w{len(html)} ", [f"w{len(html)}"] if shown else []
+            elif tag == "ul":
+                inner, own = "", []
+                for _ in range(rnd.randrange(3)):
+                    item, found = grow(depth - 1, shown)
+                    inner, own = f"{inner}<li>{item}", own + found
+            elif tag == "table":
+                inner, own = "", []
+                for _ in range(rnd.randrange(3)):
+                    cells = [rnd.choice([(f" c{k} ", [f"c{k}"] if shown else []), ("", [])]) for k in range(rnd.randrange(4))]
+                    inner, own = inner + "<tr>" + "".join(f"<td>{c}" for c, _ in cells), own + [w for _, ws in cells for w in ws]
+            elif tag == "details":
+                (top, first), (rest, more) = grow(0, shown), grow(depth - 1, shown)
+                is_open = rnd.random() < 0.5
+                style += " open" * is_open
+                inner, own = f"<summary>{top}</summary>{rest}", first + more * is_open
+            else:
+                inner, own = grow(depth - 1, shown)
+            html += f"<{tag}{style}>{inner}</{tag}>"
+            words += [] if "hidden" in style.split() or "none" in style else own
+        return html, words
+
+    for _ in range(400):
+        html, words = grow(4, True)
+        assert [w for w in html_text.html_text(html).split() if w != "-"] == words, html
+
+
+def test_html_hostile_pages_end():
+    for page in ("<div>" * 50_000 + "x", "<ul><li>a" * 5_000, "<b>" * 20_000 + "</i>" * 20_000, "<!--" * 50_000, "<a " * 50_000, "<p>" + "<span>" * 20_000 + "<div>" * 500):
+        html_text.html_text(page)
+    rnd = random.Random(1)
+    marks = "<p> </p> <table> <tr> <td> </td> </table> <ul> <li> </ul> <b> <svg/> <svg style> </svg> <select> <option> <pre> </pre> <ol\treversed\tstart=x> <caption> <!-- --> <![x[ ]]> <?pi &#xd800; </br> <td\tcolspan=99999\trowspan=0> <head> <textarea> <a\thref=' '> <dd> <math> </math> <script>".split(" ")
+    for _ in range(3000):
+        html_text.html_text("".join(rnd.choice(marks) for _ in range(rnd.randrange(40))))
 
 
 def test_html_table(spark):
-    pages = spark.createDataFrame([(1, "<p>x", "c"), (2, None, "c"), (2, "", "c")], "page_id int, html string, text string")
-    assert counted(html_text.extract(pages).collect()) == counted([(1, "x", 1, 1), (2, "", 0, 0), (2, "", 0, 0)])
+    long = "<p>word</p>" * 100_000
+    pages = spark.createDataFrame([(1, "<p>x", "c"), (2, None, "c"), (2, "", "c"), (3, long, "c")], "page_id int, html string, text string")
+    assert counted(html_text.extract(pages).collect()) == counted([(1, "x", 1, 1), (2, "", 0, 0), (2, "", 0, 0), (3, "\n\n".join(["word"] * 100_000), 599_998, 199_999)])
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
