@@ -53,6 +53,33 @@ def parse_timestamp(raw: Column) -> Column:
     return F.when(~s.isin("", "-", "--"), F.coalesce(*tried))
 
 
+#: What counts as white space, as the inside of a character class.
+BLANK = "\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x85\\x1C-\\x1F"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+
+
+def round_tenth(x: Column) -> Column:
+    """To one decimal as the binary value lies: only what is exactly between two goes to the even one.
+
+    A decimal that ends in 5 is a tie in print only; the exact side is told by a product that splits the value in two halves.
+    """
+
+    def rounded(d: Column) -> Column:
+        printed = d.cast("decimal(30,12)")
+        tenths = F.floor(printed * 10).cast("long")
+        tie = printed * 20 == (2 * tenths + 1)
+        high = d.cast("float").cast("double")
+        above = (2 * tenths + 1).cast("double") - 20 * high - 20 * (d - high)  # positive below the tie
+        up = F.when(above < 0, 1).when(above > 0, 0).otherwise(F.abs(tenths % 2).cast("int"))
+        return F.when(tie, (tenths + up) / F.lit(10.0)).otherwise(F.round(printed, 1).cast("double"))
+
+    return F.element_at(F.transform(F.array(x.cast("double")), rounded), 1)
+
+
 def second_of_day(clock: Column) -> Column:
     part = lambda k: F.split_part(clock, F.lit(":"), F.lit(k)).cast("int")
     return part(1) * 3600 + part(2) * 60 + part(3)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
 from . import chatlog
 
-GRACE = 90
+GRACE, HOUR = 90, 3600
 
 
 def _of_host(raw: str, norm: str, names: tuple[str, ...]) -> Column:
@@ -24,6 +25,23 @@ def host_blocks(blocks: DataFrame, raw: str = "sender", norm: str = "norm", name
     return blocks.groupBy("room").agg(F.count_if(_of_host(raw, norm, names)).alias("host_blocks"))
 
 
+def name_variants(records: DataFrame) -> DataFrame:
+    """room, norm, key_email, j, l: each name that an attended record with a usable key was in the room under, and when.
+
+    Reads room, key_email, attended_flag, orig, name_rows (raw_name, j, l: the attended rows) and segments (j, l).  Only names
+    as they are written count; a record without such a row has its last name for all its time.  People who never joined are
+    no candidates, so that they make no name ambiguous.
+    """
+    own = records.filter("attended_flag AND key_email <> ''")
+    whole = F.transform(F.when(F.size("segments") > 0, F.transform("segments", lambda s: F.struct(s["j"].alias("j"), s["l"].alias("l")))).otherwise(F.array(F.struct(*(F.lit(None).cast("timestamp_ntz").alias(c) for c in "jl")))), lambda s: F.struct(F.col("orig").alias("raw_name"), s["j"].alias("j"), s["l"].alias("l")))
+    named = F.transform("name_rows", lambda r: F.struct(r["raw_name"].alias("raw_name"), r["j"].alias("j"), r["l"].alias("l")))
+    rows = own.select("room", "key_email", F.explode(F.when(F.size("name_rows") > 0, named).otherwise(F.filter(whole, lambda r: r["raw_name"] != ""))).alias("v"))
+    seconds = lambda t: F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t)
+    both = F.col("v.j").isNotNull() & F.col("v.l").isNotNull()
+    named = rows.select("room", text.norm_name(text.nfkc("v.raw_name")).alias("norm"), "key_email", F.when(both, seconds(F.col("v.j"))).alias("j"), F.when(both, seconds(F.col("v.l"))).alias("l"))
+    return named.filter("norm <> ''")
+
+
 def candidates(segments: DataFrame) -> DataFrame:
     """room, norm, key_email, n: who can be meant by a name, and how many.  Reads room, norm, key_email."""
     each = segments.filter("key_email <> '' AND norm <> ''").select("room", "norm", "key_email").distinct()
@@ -35,23 +53,30 @@ def attributed(blocks: DataFrame, segments: DataFrame, grace: int = GRACE) -> Da
     """The blocks (room, norm, block_id, t) with key_email and how: unique, window, ambiguous or no_row.
 
     A name with one candidate needs no time.  Of a shared name the one candidate whose presence, widened by ``grace``
-    seconds, covers the block gets it; with none or several it is ambiguous.  Equality on room and name keeps the interval
-    test a residual of an equi-join.
+    seconds, covers the block gets it; with none or several it is ambiguous.  Blocks meet presences by room, name and hour, so
+    a frequent name is dealt over its hours and a block meets only who was there then.
     """
     cands = candidates(segments)
     names = cands.groupBy("room", "norm").agg(F.max("n").alias("n"), F.min("key_email").alias("only"))
     found = blocks.join(names, ["room", "norm"], "left")
-    shared = found.filter("n > 1").select("room", "norm", "block_id", "t")
-    live = (
-        shared.join(segments.filter("key_email <> ''").select("room", "norm", "key_email", "j", "l"), ["room", "norm"])
-        .filter((F.col("t") >= F.col("j") - grace) & (F.col("t") <= F.col("l") + grace))
+    shared = found.filter("n > 1 AND t IS NOT NULL").select("room", "norm", "block_id", "t", F.floor(F.col("t") / HOUR).alias("hour"))
+    # No presence is dealt over more hours than the room's chat has.
+    talk = blocks.groupBy("room").agg(F.min("t").alias("from"), F.max("t").alias("to"))
+    live = segments.filter("key_email <> '' AND j IS NOT NULL AND l IS NOT NULL").join(names.filter("n > 1").select("room", "norm"), ["room", "norm"], "left_semi").join(talk, "room")
+    live = live.withColumns({"j": F.col("j") - grace, "l": F.col("l") + grace}).withColumns({"a": F.greatest("j", "from"), "b": F.least("l", "to")}).filter("a <= b")
+    live = live.select("room", "norm", "key_email", "j", "l", F.explode(F.sequence(F.floor(F.col("a") / HOUR), F.floor(F.col("b") / HOUR))).alias("hour"))
+    here = live.groupBy("room", "norm", "hour", "key_email").agg(F.collect_list(F.struct("j", "l")).alias("there"))
+    covers = F.exists("there", lambda s: (F.col("t") >= s["j"]) & (F.col("t") <= s["l"]))
+    one = (
+        shared.join(here, ["room", "norm", "hour"])
+        .filter(covers)
         .groupBy("room", "norm", "block_id")
-        .agg(F.count_distinct("key_email").alias("live"), F.min("key_email").alias("one"))
-        .filter("live = 1")
+        .agg(F.min("key_email").alias("one"), F.max("key_email").alias("other"))
+        .filter("one = other")
         .select("room", "norm", "block_id", "one")
     )
     how = F.when(F.col("n").isNull(), "no_row").when(F.col("n") == 1, "unique").when(F.col("one").isNotNull(), "window").otherwise("ambiguous")
-    out = found.join(live, ["room", "norm", "block_id"], "left").withColumn("how", how)
+    out = found.join(one, ["room", "norm", "block_id"], "left").withColumn("how", how)
     key = F.when(F.col("how") == "unique", F.col("only")).when(F.col("how") == "window", F.col("one"))
     return out.withColumn("key_email", key).drop("n", "only", "one")
 
@@ -76,6 +101,11 @@ def stats(attributed: DataFrame) -> DataFrame:
     )
 
 
+def unmatched_senders(attributed: DataFrame) -> DataFrame:
+    """room, norm, n_blocks of the names that no attendee of the room has."""
+    return attributed.filter("how = 'no_row'").groupBy("room", "norm").agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
 def unattributed_pool(attributed: DataFrame, segments: DataFrame) -> DataFrame:
     """room, key_email, n_lines, n_candidates: ambiguous lines go to every candidate of the name, to be shown only.
 

@@ -15,6 +15,10 @@ def rank(category: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, ORDER)), category)
 
 
+def histogram(results: DataFrame) -> DataFrame:
+    return results.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
 def categorized(people: DataFrame) -> DataFrame:
     """The rows with category and basis.
 

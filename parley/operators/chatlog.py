@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,31 +29,52 @@ def blocks(lines: DataFrame, file: list[str]) -> DataFrame:
     """``file``, block_id, line_no, sender, ts, sec, lines of each message block (from line_no, line).
 
     A header opens a block and what follows up to the next header is its body; quotes and empty lines go, and so do blocks
-    without a line.  Times grow by a day for each day after the file's first date; in a file without dates a jump back of over
-    twelve hours is a new day.
+    without a line.  Times grow by a day for each day after the file's first date; without a date a jump back of over twelve
+    hours is a new day.
     """
     order = Window.partitionBy(*file).orderBy("line_no")
     head = F.col("line").rlike(HEADER)
     marked = lines.withColumn("block_id", F.sum(head.cast("int")).over(order)).filter("block_id > 0")
-    body = F.trim(F.regexp_replace("line", "^\\t+|\\t+$", ""))
+    body = text.strip(F.col("line"))
     # A block's body is as long as one message is; lines keep their order by number.
     said = F.when(~head & ~F.col("line").rlike(QUOTE) & (body != ""), F.struct("line_no", body.alias("x")))
     rows = marked.groupBy(*file, "block_id").agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("header"), F.array_sort(F.collect_list(said)).alias("said"))
     part = lambda k: F.regexp_extract("header", HEADER, k)
     day = F.when(F.col("header").rlike("^[0-9]{4}-"), F.left("header", F.lit(10))).try_cast("date")
-    typed = rows.select(*file, "block_id", "line_no", F.trim(part(2)).alias("sender"), part(1).alias("ts"), text.second_of_day(part(1)).alias("clock"), day.alias("day"), F.transform("said", lambda s: s["x"]).alias("lines"))
+    typed = rows.select(*file, "block_id", "line_no", text.strip(part(2)).alias("sender"), part(1).alias("ts"), text.second_of_day(part(1)).alias("clock"), day.alias("day"), F.transform("said", lambda s: s["x"]).alias("lines"))
     return wrapped(typed, file, "block_id").filter(F.size("lines") > 0).drop("clock", "day")
 
 
 def wrapped(rows: DataFrame, file: list[str], order_by: str) -> DataFrame:
-    """``sec``: clock plus whole days, by date where there is one, else by jumps back."""
+    """``sec``: clock plus whole days, by date where there is one, else by jumps back.
+
+    Only files with both kinds of headers need a walk: whether an undated clock after a dated one is a new day depends on how
+    many new days there were.  Such a file is a group of its own, as large as one saved chat.
+    """
+    kinds = rows.groupBy(*file).agg((F.bool_or(F.col("day").isNull()) & F.bool_or(F.col("day").isNotNull())).alias("_mixed"))
+    known = rows.join(kinds, file)
     order = Window.partitionBy(*file).orderBy(order_by)
-    back = ((F.col("clock") < F.lag("clock").over(order) - DAY // 2) & F.col("day").isNull()).cast("int")
+    back = F.coalesce((F.col("clock") < F.lag("clock").over(order) - DAY // 2).cast("int"), F.lit(0))
     first = F.first("day", ignorenulls=True).over(order)
-    dated = F.greatest(F.datediff("day", first), F.lit(0))
-    rows = rows.withColumn("_back", F.coalesce(back, F.lit(0))).withColumn("_dated", dated)
+    plain = known.filter("NOT _mixed").withColumns({"_back": back, "_dated": F.greatest(F.datediff("day", first), F.lit(0))})
     days = F.when(F.col("day").isNotNull(), F.col("_dated")).otherwise(F.sum("_back").over(order))
-    return rows.withColumn("sec", (F.col("clock") + days * DAY).cast("int")).drop("_back", "_dated")
+    plain = plain.withColumn("sec", (F.col("clock") + days * DAY).cast("int")).drop("_back", "_dated", "_mixed")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order_by, kind="stable")
+        start, days, last, seconds = None, 0, None, []
+        for clock, day in zip(pdf["clock"], pdf["day"]):
+            if day is not None and not pd.isna(day):
+                start = day if start is None else start
+                last = clock + DAY * max(0, (day - start).days)
+            else:
+                days += last is not None and clock + DAY * days < last - DAY // 2
+                last = clock + DAY * days
+            seconds.append(last)
+        return pdf.assign(sec=seconds)
+
+    mixed = known.filter("_mixed").drop("_mixed").groupBy(*file).applyInPandas(walk, plain.schema)
+    return plain.unionByName(mixed)
 
 
 def drop_contained(blocks: DataFrame, room: str, file: str, norm: str, share: float = 0.9) -> DataFrame:

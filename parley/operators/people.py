@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def room_key(key_email: Column, email: Column, rec_key: Column, room: Column) -> Column:
     """The person's key: the match key, else the address, else the record's key in its room."""
@@ -26,7 +28,8 @@ def present_in(segments: Column, low: Column, high: Column) -> Column:
 
 
 def fold(records: DataFrame) -> DataFrame:
-    """gk, name, email, phone, country, attended, minutes, rooms, person_ord, pricing.
+    """gk, name, email, phone, country, attended, minutes, rooms, person_ord, pricing; and cta, duration_min (the longest), no_timing
+    where the records have them.
 
     Records are folded in order (room, rec_ord): a name is replaced by a later one whose record has at least the minutes that
     were summed before it; the first non-blank address, phone and country stay; rooms are listed by minutes.
@@ -47,15 +50,34 @@ def fold(records: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(room)), lambda r: r["room"]), " | ").alias("rooms"),
         F.min(F.struct("room", "rec_ord")).alias("person_ord"),
         F.bool_or("pricing").alias("pricing"),
+        *(f(c).alias(c) for c, f in (("cta", F.bool_or), ("duration_min", F.max), ("no_timing", F.bool_or)) if c in records.columns),
     )
 
 
-def page(results: DataFrame, order: list, category: str | None = None, query: str | None = None, offset: int = 0, limit: int = 120) -> DataFrame:
-    """A slice of the results: by category, by a part of name or address, 1 to 500 rows."""
+def percent_attended(minutes: Column, duration: Column, no_timing: Column) -> Column:
+    """Of the session's length; null where the length is unknown or an attended person has no times at all."""
+    share = text.round_tenth(F.least(F.lit(100.0), 100.0 * minutes / duration))
+    return F.when((~no_timing | (minutes > 0)) & (duration > 0), share)
+
+
+def shown(results: DataFrame) -> DataFrame:
+    """The columns of a results table: short names, messages as arrays."""
+    said = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), " \\| "), lambda m: m != "")
+    phone = F.when(F.col("phone") != "", F.trim(F.concat("cc", F.lit(" "), "phone"))).otherwise("")
+    return results.select(F.col("name").alias("n"), F.col("email").alias("e"), phone.alias("p"), F.col("category").alias("cat"), "basis", F.col("pricing").alias("pr"), F.col("cta").alias("ct"), F.col("minutes").alias("min"), "room", F.col("attended").alias("att"), F.col("msg_count").alias("msgs"), said(F.col("relevant")).alias("rel"), said(F.col("deleted")).alias("del"))
+
+
+def matching(results: DataFrame, category: str | None = None, query: str | None = None) -> DataFrame:
+    """The results of a category and with a part of name or address; their count is a page's total."""
     rows = results
     if category:
         rows = rows.filter(F.col("category") == category)
-    if query:
-        q = query.lower()
+    if query and query.strip():
+        q = query.strip().lower()
         rows = rows.filter(F.contains(F.lower("name"), F.lit(q)) | F.contains(F.lower("email"), F.lit(q)))
-    return rows.orderBy(*order).offset(max(0, offset)).limit(min(500, max(1, limit)))
+    return rows
+
+
+def page(results: DataFrame, order: list, category: str | None = None, query: str | None = None, offset: int = 0, limit: int = 120) -> DataFrame:
+    """A slice of the results: by category, by a part of name or address, 1 to 500 rows."""
+    return matching(results, category, query).orderBy(*order).offset(max(0, offset)).limit(min(500, max(1, limit)))

@@ -9,28 +9,18 @@ from ..functions import contact, text
 
 EXACT_HEADER = "Attended,User Name (Original Name),First Name"
 NAME, EMAIL = "User Name (Original Name)", "Email"
-#: Cells that are parsed at a time.
-CELLS = 40
-#: A cell from the comma before it: quoted with what is behind its end, or bare.
-CELL = ',("(?:[^"]++|"")*+"[^,]*+|[^,]*+)'
+#: A cell from the comma before it: quoted with what is behind its end, quoted without an end, or bare.
+CELL = ',("(?:[^"]++|"")*+"[^,]*+|"(?:[^"]++|"")*+$|[^,]*+)'
+QUOTED = '^"((?:[^"]|"")*+)"?(.*)$'
+#: Characters of a cell that a reader of comma-separated files takes at most; a line with a longer one is bad.
+CELL_MOST = 131_072
 
 
 def csv_cells(line: Column) -> Column:
-    """All cells of one line; damage costs that line at most. NUL bytes go."""
-    schema = ", ".join(f"c{i} string" for i in range(CELLS))
-    clean = F.regexp_replace(line, "\\x00", "")
-    n = F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
-
-    def parsed(part: Column) -> Column:
-        row = F.from_csv(part, F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"})
-        return F.array(*(F.coalesce(row[f"c{i}"], F.lit("")) for i in range(CELLS)))
-
-    def wide() -> Column:
-        cells = F.regexp_extract_all(F.concat(F.lit(","), clean), F.lit(CELL), F.lit(1))
-        first = F.sequence(F.lit(1), F.greatest(F.size(cells), F.lit(1)), F.lit(CELLS))
-        return F.flatten(F.transform(first, lambda i: parsed(F.array_join(F.slice(cells, i, F.lit(CELLS)), ","))))
-
-    return F.slice(F.when(n <= CELLS, parsed(clean)).otherwise(wide()), F.lit(1), n)
+    """All cells of one line, of any number; damage costs that line at most.  NUL bytes go."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(line, "\\x00", "")), F.lit(CELL), F.lit(1))
+    inner = lambda c: F.concat(F.replace(F.regexp_extract(c, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, QUOTED, 2))
+    return F.transform(cells, lambda c: F.when(c.startswith('"'), inner(c)).otherwise(c))
 
 
 def numbered_lines(files: DataFrame, text_col: str = "text") -> DataFrame:
@@ -39,38 +29,76 @@ def numbered_lines(files: DataFrame, text_col: str = "text") -> DataFrame:
     return files.select(*keep, F.posexplode(text.lines(F.col(text_col))).alias("line_no", "line"))
 
 
-def attendee_rows(lines: DataFrame, file: list[str]) -> DataFrame:
-    """``file``, line_no, cells (map by header) of the rows of the attendee section.
+def _shaped(cells: Column) -> Column:
+    some = F.array(*map(F.lit, ("First Name", "Phone", "Registration Time")))
+    return (text.strip(F.get(cells, F.lit(0))) == "Attended") & F.array_contains(cells, NAME) & F.array_contains(cells, EMAIL) & F.arrays_overlap(cells, some)
+
+
+def is_header(line: Column) -> Column:
+    """Whether an attendee section may begin with the line."""
+    return line.startswith(EXACT_HEADER) | F.when(line.startswith("Attended,"), _shaped(csv_cells(line))).otherwise(False)
+
+
+def sections(lines: DataFrame, file: list[str]) -> DataFrame:
+    """``file``, head, header (cells), end: where each file's attendee section begins and ends; only lines that may be either
+    are parsed.
 
     The header is the first line with the exact beginning, else the last one of attendee shape; the section ends at the next
-    section or at a report banner; only rows whose first cell is Yes or No are people.
+    section or at a report banner.
     """
-    cells = csv_cells(F.col("line"))
     line = F.col("line")
-    shaped = line.startswith("Attended,") & F.array_contains("cells", NAME) & F.array_contains("cells", EMAIL) & F.arrays_overlap("cells", F.array(*map(F.lit, ("First Name", "Phone", "Registration Time"))))
-    rows = lines.withColumn("cells", cells).filter(F.trim("line") != "")
-    exact = F.min(F.when(line.startswith(EXACT_HEADER), F.col("line_no")))
-    head = rows.groupBy(*file).agg(F.coalesce(exact, F.max(F.when(shaped, F.col("line_no")))).alias("head")).filter("head IS NOT NULL")
-    named = rows.join(head, [*file]).filter("line_no >= head")
-    stop = (F.substring_index("line", ",", 1).isin("Host Details", "Panelist Details") | line.startswith("Report generated")) & (F.col("line_no") > F.col("head"))
-    whole = Window.partitionBy(*file)
-    named = named.withColumn("end", F.min(F.when(stop, F.col("line_no"))).over(whole)).withColumn("header", F.min_by("cells", "line_no").over(whole))
-    body = named.filter((F.col("line_no") > F.col("head")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end")))).filter(F.col("cells")[0].isin("Yes", "No"))
-    # A header that repeats a name takes the last cell of it.
-    entries = F.transform("header", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("cells", i), F.lit("")).alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return body.select(*file, "line_no", F.map_from_entries(last).alias("cells"))
+    shaped = _shaped(F.col("cells"))
+    stop = F.substring_index("line", ",", 1).isin("Host Details", "Panelist Details") | line.startswith("Report generated")
+    marks = lines.filter(line.startswith("Attended,") | stop).withColumn("cells", F.when(line.startswith("Attended,"), csv_cells(line)))
+    exact, own = F.when(line.startswith(EXACT_HEADER), F.col("line_no")), F.when(shaped, F.col("line_no"))
+    files = marks.groupBy(*file).agg(
+        F.min(exact).alias("exact"), F.min_by("cells", exact).alias("exact_cells"), F.max(own).alias("own"), F.max_by("cells", own).alias("own_cells"), F.collect_list(F.when(stop, F.col("line_no"))).alias("stops")
+    )
+    found = files.select(*file, F.coalesce("exact", "own").alias("head"), F.when(F.col("exact").isNotNull(), F.col("exact_cells")).otherwise(F.col("own_cells")).alias("header"), "stops")
+    return found.filter("head IS NOT NULL").withColumn("end", F.array_min(F.filter("stops", lambda n: n > F.col("head")))).drop("stops")
+
+
+def section_lines(lines: DataFrame, file: list[str]) -> DataFrame:
+    """``file``, line_no, line, cells, names and at (the header's names, each once, and the last place of each) of the lines
+    of the attendee section that aren't blank."""
+    header = F.transform("header", lambda h, i: F.struct((-i).alias("i"), h.alias("name")))
+    names = sections(lines, file).withColumn("names", F.array_distinct("header"))
+    at = F.transform("names", lambda n: -F.array_min(F.filter(header, lambda h: h["name"] == n))["i"])
+    inside = (F.col("line_no") > F.col("head")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))) & (text.strip(F.col("line")) != "")
+    rows = lines.join(names.withColumn("at", at), file).filter(inside)
+    return rows.select(*file, "line_no", "line", csv_cells(F.col("line")).alias("cells"), "names", "at")
+
+
+def _bad(cells: Column) -> Column:
+    return (F.length("line") > CELL_MOST) & F.exists(cells, lambda c: F.length(c) > CELL_MOST)
+
+
+def attendee_rows(lines: DataFrame, file: list[str]) -> DataFrame:
+    """``file``, line_no, cells (map by header) of the rows of the attendee section whose first cell is Yes or No."""
+    rows = section_lines(lines, file).filter(F.get("cells", F.lit(0)).isin("Yes", "No") & ~_bad(F.col("cells")))
+    # The cells are bound, else each column's look-up would parse the line again.
+    values = F.element_at(F.transform(F.array("cells"), lambda c: F.transform("at", lambda i: F.coalesce(F.get(c, i), F.lit("")))), 1)
+    return rows.select(*file, "line_no", F.map_from_arrays("names", values).alias("cells"))
+
+
+def parse_counts(lines: DataFrame, file: list[str]) -> DataFrame:
+    """``file``, nul, bad, cand, kept, has_phone_col: what became of the lines of each file's attendee section."""
+    kept = F.get("cells", F.lit(0)).isin("Yes", "No") & ~_bad(F.col("cells"))
+    rows = section_lines(lines, file).groupBy(*file).agg(F.count_if(F.col("line").contains("\0")).alias("nul"), F.count_if(_bad(F.col("cells"))).alias("bad"), F.count(F.lit(1)).alias("cand"), F.count_if(kept).alias("kept"))
+    files = sections(lines, file).select(*file, F.array_contains("header", "Phone").alias("has_phone_col"))
+    none = F.lit(0).cast("long")
+    return files.join(rows, file, "left").select(*file, *(F.coalesce(c, none).alias(c) for c in ("nul", "bad", "cand", "kept")), "has_phone_col")
 
 
 def session_meta(lines: DataFrame, file: list[str]) -> DataFrame:
     """``file``, topic, start, duration_min, registrants from the first meta block of each file."""
-    order = Window.partitionBy(*file).orderBy("line_no")
-    rows = lines.withColumn("values", csv_cells(F.lead("line").over(order))).filter(F.col("line").startswith("Topic,Webinar ID,Actual Start Time"))
-    first = rows.withColumn("k", F.row_number().over(order)).filter("k = 1 AND values IS NOT NULL")
-    value = lambda name: F.get("values", (F.array_position(csv_cells(F.col("line")), name) - 1).cast("int"))
-    return first.select(
+    head = lines.filter(F.col("line").startswith("Topic,Webinar ID,Actual Start Time")).groupBy(*file).agg(F.min("line_no").alias("at"), F.min_by("line", "line_no").alias("header"))
+    follows = lines.select(*file, (F.col("line_no") - 1).alias("at"), "line")
+    rows = head.join(follows, [*file, "at"]).withColumns({"names": csv_cells(F.col("header")), "values": csv_cells(F.col("line"))})
+    value = lambda name: F.get("values", (F.array_position("names", name) - 1).cast("int"))
+    return rows.select(
         *file,
-        F.trim(value("Topic")).alias("topic"),
+        F.coalesce(F.trim(value("Topic")), F.lit("")).alias("topic"),
         text.parse_timestamp(value("Actual Start Time")).alias("start"),
         F.coalesce(value("Actual Duration (minutes)").try_cast("double"), F.lit(0.0)).alias("duration_min"),
         F.coalesce(value("# Registrants").try_cast("int"), F.lit(0)).alias("registrants"),
@@ -85,6 +113,7 @@ def typed_rows(rows: DataFrame) -> DataFrame:
         (F.lower(F.trim(cell("Attended"))) == "yes").alias("attended"),
         cell(NAME).alias("raw_name"),
         text.clean_display_name(cell(NAME)).alias("name"),
+        *(F.trim(cell(f"{k} Name")).alias(f"{k.lower()}_name") for k in ("First", "Last")),
         text.clean_email(cell(EMAIL)).alias("email"),
         contact.norm_phone(cell("Phone")).alias("phone"),
         F.trim(cell("Phone")).alias("phone_raw"),
@@ -119,14 +148,17 @@ def records(rows: DataFrame, file: list[str]) -> DataFrame:
             first("phone_raw").alias("phone_raw"),
             F.bool_or("attended").alias("attended_flag"),
             F.bool_or("unparsed_ts").alias("unparsed_ts"),
-            F.count("reg_time").alias("n_reg"),
+            last("first_name").alias("first_name"),
+            last("last_name").alias("last_name"),
+            F.min_by("reg_time", F.when(F.col("reg_time").isNotNull(), F.col("line_no"))).alias("reg_time"),
+            F.array_sort(F.collect_list(F.when(F.col("attended") & (F.col("raw_name") != ""), F.struct("line_no", "raw_name", "j", "l")))).alias("name_rows"),
             F.array_sort(F.collect_list(F.when(whole, segment))).alias("segments"),
         )
     )
     seconds = merged_seconds(F.transform("segments", lambda s: F.struct(s["j"].alias("j"), s["l"].alias("l"))))
     return grouped.select(
-        *[c for c in grouped.columns if c != "n_reg"],
-        (F.col("n_reg") > 0).alias("pre_registered"),
+        *grouped.columns,
+        F.col("reg_time").isNotNull().alias("pre_registered"),
         seconds.alias("seconds_present"),
         F.greatest(F.size("segments") - 1, F.lit(0)).alias("reconnections"),
         F.array_min(F.transform("segments", lambda s: s["j"])).alias("first_join"),
@@ -165,26 +197,3 @@ def richer(records: DataFrame, keys: list[str], measure: str, order: str) -> Dat
     """Of several reports of a room the record with the larger measure; the earlier one if they tie."""
     w = Window.partitionBy(*keys).orderBy(F.desc(measure), order)
     return records.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
-
-
-def preflight(rooms: DataFrame) -> DataFrame:
-    """room, level, messages from one row of counts for each room.
-
-    Columns read: has_report, has_chat, nul_rows, rows, no_rows, join_parsed, join_cells, clock_count, span_s, duration_min.
-    """
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    duration = F.when(F.col("duration_min") > 0, F.col("duration_min")).otherwise(200)
-    has_rows = F.col("has_report") & (F.col("rows") > 0)
-    fails = [
-        (~F.col("has_report"), "no attendee report"),
-        (F.col("has_report") & (F.col("rows") == 0), "attendee report has no rows"),
-        (has_rows & (share("no_rows", "rows") > 0.60), "most rows did not attend"),
-        (has_rows & (share("join_parsed", "join_cells") < 0.75), "join times don't parse"),
-        (~F.col("has_chat"), "no chat export"),
-        (F.col("has_chat") & (F.col("clock_count") < 2), "chat has no times"),
-        (F.col("has_chat") & (F.col("clock_count") >= 2) & (F.col("span_s") / 60 < 0.5 * duration), "chat ends early"),
-    ]
-    warns = [(F.col("nul_rows") > 0, "rows with NUL bytes were repaired")]
-    found = lambda rules: F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in rules)))
-    level = F.when(F.size(found(fails)) > 0, "FAIL").when(F.size(found(warns)) > 0, "WARN").otherwise("ok")
-    return rooms.select("room", level.alias("level"), F.concat(found(fails), found(warns)).alias("messages"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import session_queries
+from . import made_session, session_queries
 
-QUERIES = dict(session_queries.QUERIES)
-ORACLE = dict(session_queries.ORACLE)
+QUERIES = session_queries.QUERIES | made_session.QUERIES
+ORACLE = session_queries.ORACLE | made_session.ORACLE
 FLAGSHIP = "engagement_results"

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import contact, text
-from ..operators import attribution, categorize, chatlog, cleaner, people, roster, signals
+from ..operators import attribution, categorize, chatlog, checks, cleaner, people, roster, scoring, signals
+from ..sources import session as sources
+from . import made_session
 
 SPARK_SECONDS = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
 DUCK_SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
@@ -72,14 +74,6 @@ def interval_union(spark, sf_dir):
     return roster.interval_union(segments(spark, sf_dir), ["room", "key_email"], "j", "l")
 
 
-@query(
-    "reconnections",
-    f"WITH {SEG} SELECT room, key_email, CAST(count(*) - 1 AS BIGINT) AS reconnections, min(j) AS first_join, max(l) AS last_leave FROM seg GROUP BY room, key_email",
-)
-def reconnections(spark, sf_dir):
-    return segments(spark, sf_dir).groupBy("room", "key_email").agg((F.count(F.lit(1)) - 1).alias("reconnections"), F.min("j").alias("first_join"), F.max("l").alias("last_leave"))
-
-
 @query(
     "richer_record",
     f"WITH {SEG} SELECT room, key_email, event_id, l - j AS seconds FROM (SELECT *, row_number() OVER (PARTITION BY room, key_email ORDER BY l - j DESC, event_id) AS k FROM seg) WHERE k = 1",
@@ -115,8 +109,7 @@ def attribution_stats(spark, sf_dir):
 
 @query("unmatched_senders", f"WITH {SEG}, {TALK} SELECT room, norm, count(*) AS n_blocks FROM chat b WHERE NOT EXISTS (SELECT 1 FROM seg s WHERE s.room = b.room AND s.norm = b.norm) GROUP BY room, norm")
 def unmatched_senders(spark, sf_dir):
-    known = segments(spark, sf_dir).select("room", "norm").distinct()
-    return chat(spark, sf_dir).join(known, ["room", "norm"], "left_anti").groupBy("room", "norm").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return attribution.unmatched_senders(attribution.attributed(chat(spark, sf_dir), segments(spark, sf_dir)))
 
 
 @query(
@@ -242,13 +235,13 @@ def contact_keys(spark, sf_dir):
 
 @query(
     "cc_split",
-    f"""WITH c AS ({CUSTOMERS}), n AS (SELECT k, country, CASE k % 7 WHEN 0 THEN '+9198' || (12345000 + k) WHEN 1 THEN '98' || (23456000 + k) WHEN 4 THEN phone WHEN 6 THEN CAST(1000000 + k AS VARCHAR) ELSE '' END AS p FROM c)
+    f"""WITH c AS ({CUSTOMERS}), n AS (SELECT k, country, CASE k % 7 WHEN 0 THEN '+9198' || (12345000 + k) WHEN 1 THEN '98' || (23456000 + k) WHEN 4 THEN phone WHEN 5 THEN '98' || (34567000 + k) WHEN 6 THEN CAST(1000000 + k AS VARCHAR) ELSE '' END AS p FROM c)
     SELECT k, CASE WHEN p = '' THEN '' WHEN k % 7 = 0 THEN '+91' WHEN k % 7 = 6 THEN CASE k % 3 WHEN 0 THEN '+91' WHEN 1 THEN '+971' ELSE '' END WHEN k % 7 = 4 AND k % 3 = 1 THEN '+971' WHEN k % 7 = 4 THEN '+91' WHEN k % 3 = 1 THEN '+971' ELSE '+91' END AS cc,
     CASE WHEN k % 7 = 0 THEN substr(p, 4) WHEN k % 7 = 4 AND k % 3 = 1 THEN substr(p, 4) ELSE p END AS national FROM n""",
 )
 def cc_split(spark, sf_dir):
     rows = _sql(spark, sf_dir, CUSTOMERS, "customer")
-    phone = F.when(F.col("k") % 7 == 0, F.regexp_replace("phone", " ", "")).when((F.col("k") % 7).isin(1, 4, 6), contact.norm_phone(F.col("phone"))).otherwise("")
+    phone = F.when(F.col("k") % 7 == 0, F.regexp_replace("phone", " ", "")).otherwise(contact.norm_phone(F.col("phone")))
     split = rows.select("k", contact.cc_split(F.col("country"), phone).alias("s"))
     return split.select("k", "s.cc", "s.national")
 
@@ -282,24 +275,11 @@ def roster_merge(spark, sf_dir):
 
 @query(
     "chat_file_containment",
-    """WITH e AS (SELECT user_id % 5 AS room, event_id, event_id % 3 AS f, user_id FROM events WHERE event_id % 3 < 2 OR event_id % 7 = 0), k AS (SELECT DISTINCT room, CASE WHEN f = 2 THEN 'b' WHEN event_id % 2 = 0 THEN 'a' ELSE 'c' END AS file, event_id FROM e
-      UNION SELECT room, 'd', event_id FROM e WHERE f <> 2 AND event_id % 2 = 0 AND event_id % 10 <> 0), n AS (SELECT room, file, count(*) AS n_keys FROM k GROUP BY ALL) SELECT room, file, n_keys, file <> 'd' AS kept FROM n""",
-)
-def chat_file_containment(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 3 < 2 OR event_id % 7 = 0").selectExpr("user_id % 5 AS room", "event_id", "event_id % 3 AS f")
-    own = e.selectExpr("room", "CASE WHEN f = 2 THEN 'b' WHEN event_id % 2 = 0 THEN 'a' ELSE 'c' END AS file", "event_id")
-    copy = e.filter("f <> 2 AND event_id % 2 = 0 AND event_id % 10 <> 0").selectExpr("room", "'d' AS file", "event_id")
-    blocks = own.unionByName(copy).selectExpr("room", "file", "CAST(event_id AS INT) AS sec", "'n' AS norm", "array('x') AS lines")
-    return chatlog.drop_contained(blocks, "room", "file", "norm")
-
-
-@query(
-    "chat_file_containment_all",
     """WITH e AS (SELECT user_id % 5 AS room, event_id, event_id % 3 AS f FROM events), k AS (SELECT DISTINCT room, CASE WHEN f = 2 AND event_id % 7 = 0 THEN 'b' WHEN f = 2 THEN 'e' WHEN event_id % 2 = 0 THEN 'a' ELSE 'c' END AS file, event_id FROM e
       UNION SELECT room, 'd', event_id FROM e WHERE f <> 2 AND event_id % 2 = 0 AND event_id % 10 <> 0), n AS (SELECT room, file, count(*) AS n_keys FROM k GROUP BY ALL) SELECT room, file, n_keys, file <> 'd' AS kept FROM n""",
 )
-def chat_file_containment_all(spark, sf_dir):
-    """Every event is in a file: those that ``chat_file_containment`` leaves out make file e."""
+def chat_file_containment(spark, sf_dir):
+    """Every event is in a file; d repeats most of a."""
     e = table(spark, sf_dir, "events").selectExpr("user_id % 5 AS room", "event_id", "event_id % 3 AS f")
     own = e.selectExpr("room", "CASE WHEN f = 2 AND event_id % 7 = 0 THEN 'b' WHEN f = 2 THEN 'e' WHEN event_id % 2 = 0 THEN 'a' ELSE 'c' END AS file", "event_id")
     copy = e.filter("f <> 2 AND event_id % 2 = 0 AND event_id % 10 <> 0").selectExpr("room", "'d' AS file", "event_id")
@@ -310,8 +290,9 @@ def chat_file_containment_all(spark, sf_dir):
 @query("payload_dedup", "SELECT source, md5, doc_id FROM (SELECT source, md5(coalesce(text, '')) AS md5, doc_id, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def payload_dedup(spark, sf_dir):
     """The first upload of each payload: hashes are grouped, payloads are not moved."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
-    return docs.groupBy("md5").agg(F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("doc_id")).select("source", "md5", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    uploads = docs.select(F.col("doc_id").alias("upload_ord"), F.col("source").alias("path"), F.lit(0).alias("member_ord"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return sources.without_copies(uploads).select(F.col("path").alias("source"), F.md5("content").alias("md5"), F.col("upload_ord").alias("doc_id"))
 
 
 RANKED = f"SELECT key_email AS email, norm AS name, minutes, rec_ord, CASE WHEN rec_ord % 4 = 0 THEN 'strong interest' WHEN rec_ord % 4 = 1 THEN 'non chatted' ELSE 'moderate' END AS category FROM rec"
@@ -325,46 +306,121 @@ def result_page(spark, sf_dir):
 
 @query("category_histogram", f"WITH {REC}, r AS ({RANKED}) SELECT category, count(*) AS n FROM r GROUP BY category")
 def category_histogram(spark, sf_dir):
-    return spark.sql(RANKED.replace("FROM rec", "FROM {rec}"), rec=records(spark, sf_dir)).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return categorize.histogram(spark.sql(RANKED.replace("FROM rec", "FROM {rec}"), rec=records(spark, sf_dir)))
+
+
+CHECKED = """e AS (SELECT event_id, user_id % 9 AS n, event_type IN ('view', 'signup') AS present, {clock} AS clock, {stamp} AS stamp FROM events)"""
 
 
 @query(
     "preflight",
-    f"""WITH {TALK}, r AS (SELECT room, count(*) AS blocks, max(t) - min(t) AS span FROM chat GROUP BY room)
-    SELECT room, CASE WHEN span / 60.0 < 0.5 * 100000 OR substr(room, 6) = '3' THEN 'FAIL' WHEN substr(room, 6) = '2' THEN 'WARN' ELSE 'ok' END AS level FROM r""",
+    f"""WITH {CHECKED.replace("{clock}", "date_trunc('second', ts)::TIME").replace("{stamp}", "''")},
+    r AS (SELECT n, count(*) FILTER (present) AS rows, count(*) FILTER (present AND NOT (n = 3 AND event_id % 4 > 0)) AS yes, count(*) FILTER (present AND n = 4 AND event_id % 2 = 0) AS bad,
+      (max(epoch(clock)) FILTER (NOT present) - min(epoch(clock)) FILTER (NOT present)) / 60.0 AS span, count(*) FILTER (NOT present) AS clocks FROM e GROUP BY n)
+    SELECT 'Room ' || n AS room, CASE WHEN n IN (0, 1) THEN 0 ELSE yes END AS attended, concat_ws('; ', CASE WHEN n = 0 THEN 'no attendee report' WHEN n = 1 THEN 'attendee report has no rows' END, CASE WHEN n = 2 THEN '1 NUL byte(s) in the attendee report were repaired' END,
+      CASE WHEN n > 1 AND rows - yes > 0.6 * rows THEN printf('%.0f', 100.0 * (rows - yes) / rows) || '% of rows did not attend' END, CASE WHEN n = 4 AND 100 * (yes - bad) < 75 * yes THEN 'only ' || printf('%.0f', 100.0 * (yes - bad) / yes) || '% of join times parse' END,
+      CASE WHEN n = 5 THEN 'no chat export' WHEN n = 6 THEN 'chat has no times' WHEN span < 0.5 * (CASE WHEN n = 7 THEN 4000.0 WHEN n < 2 THEN 200.0 ELSE 400.0 END) THEN 'chat spans ' || printf('%.0f', span) || ' of about ' || (CASE WHEN n = 7 THEN 4000 WHEN n < 2 THEN 200 ELSE 400 END) || ' min' END) AS messages FROM r""",
 )
 def preflight(spark, sf_dir):
-    spans = chatlog.spans(chat(spark, sf_dir).withColumnRenamed("t", "sec"), "room")
-    n = F.substring("room", 6, 9).cast("int")
-    rooms = spans.select("room", F.lit(True).alias("has_report"), F.lit(True).alias("has_chat"), (n == 2).cast("int").alias("nul_rows"), F.lit(10).alias("rows"), F.when(n == 3, 7).otherwise(1).alias("no_rows"), F.lit(9).alias("join_parsed"), F.lit(9).alias("join_cells"), F.col("chat_blocks").alias("clock_count"), "span_s", F.lit(100000.0).alias("duration_min"))
-    return roster.preflight(rooms).select("room", "level")
+    """Rooms with one fault each, as text: no report, no rows, NUL bytes, absent people, times that don't parse, no chat, no times,
+    a chat that ends early, none."""
+    e = spark.sql("WITH " + CHECKED.replace("{clock}", "date_format(ts, 'HH:mm:ss')").replace("{stamp}", "date_format(ts, 'MM/dd/yyyy hh:mm:ss a')").replace("FROM events", "FROM {events}") + " SELECT * FROM e", events=table(spark, sf_dir, "events"))
+    e = e.withColumn("room", F.concat(F.lit("Room "), F.col("n").cast("string")))
+    yes = F.when((F.col("n") == 3) & (F.col("event_id") % 4 > 0), "No").otherwise("Yes")
+    joined = F.when((F.col("n") == 4) & (F.col("event_id") % 2 == 0), "soon").otherwise(F.concat(F.lit('"'), "stamp", F.lit('"')))
+    rows = e.filter("present AND n > 1").select("room", F.lit(1).alias("file_ord"), (F.col("event_id") + 10).alias("line_no"), F.concat_ws(",", yes, F.concat(F.lit("User "), F.col("event_id").cast("string")), F.lit("F"), F.lit("u@x.example"), joined).alias("line"))
+    meta = F.concat(F.lit("T,1,,"), F.when(F.col("n") == 7, "4000").otherwise("400"))
+    head = F.array(F.lit("Topic,Webinar ID,Actual Start Time,Actual Duration (minutes)"), meta, F.lit("Attended,User Name (Original Name),First Name,Email,Join Time"), F.when(F.col("n") == 2, "Maybe,\0").otherwise(""))
+    head = F.when(F.col("n") == 1, F.slice(head, 3, 2)).otherwise(head)
+    top = e.filter("n > 0").select("room", "n").distinct().select("room", F.lit(1).alias("file_ord"), F.posexplode(head).alias("k", "line")).select("room", "file_ord", F.col("k").cast("long").alias("line_no"), "line")
+    opens = F.concat(F.when(F.col("n") == 6, "now").otherwise(F.col("clock")), F.lit(" From A to Everyone:"))
+    chats = e.filter("NOT present AND n <> 5").select("room", F.lit(1).alias("file_ord"), F.col("event_id").alias("line_no"), opens.alias("line"))
+    return checks.check_rooms(top.unionByName(rows), chats).select("room", "attended", F.array_join("messages", "; ").alias("messages"))
 
 
-@query("display_names", "SELECT c_custkey AS k, 'Mary-Jane O''Neil ' || c_custkey AS name, 'mj' || c_custkey || '@firm.example' AS email FROM customer")
+@query(
+    "display_names",
+    """SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN 'Mary-Jane O''Neil ' || c_custkey WHEN 1 THEN 'Élodie Brûlé' WHEN 2 THEN '王小明 ' || c_custkey WHEN 3 THEN 'User' || c_custkey || 'Xy' ELSE '' END AS name,
+    CASE c_custkey % 5 WHEN 0 THEN 'mj' || c_custkey || '@firm.example' WHEN 1 THEN 'a.b+c@x.y.example' WHEN 2 THEN '' WHEN 3 THEN '' ELSE 'q' || c_custkey || '@sub.domain.example' END AS email,
+    CASE c_custkey % 5 WHEN 0 THEN 'mary jane o neil ' || c_custkey WHEN 1 THEN 'élodie brûlé' WHEN 2 THEN '王小明 ' || c_custkey WHEN 3 THEN 'user' || c_custkey || 'xy' ELSE '' END AS norm FROM customer""",
+)
 def display_names(spark, sf_dir):
-    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.concat(F.lit("2505445126_​mary-JANE  o'neil "), F.col("c_custkey").cast("string")).alias("raw"), F.concat(F.lit(" MJ"), F.col("c_custkey").cast("string"), F.lit("@Firm.example.; ")).alias("mail"))
-    return raw.select("k", text.clean_display_name(F.col("raw")).alias("name"), text.clean_email(F.col("mail")).alias("email"))
+    k = F.col("c_custkey").cast("string")
+    which = lambda *values: F.when(F.col("c_custkey") % 5 == 0, values[0]).when(F.col("c_custkey") % 5 == 1, values[1]).when(F.col("c_custkey") % 5 == 2, values[2]).when(F.col("c_custkey") % 5 == 3, values[3]).otherwise(values[4])
+    name = which(F.concat(F.lit("2505445126_\u200bmary-JANE  o'neil "), k), F.lit(" ÉLODIE  brûlé\ufeff"), F.concat(F.lit("王小明  "), k), F.concat(F.lit("1234567_USER"), k, F.lit("xY")), F.lit("\u200b "))
+    mail = which(F.concat(F.lit(" MJ"), k, F.lit("@Firm.example.; ")), F.lit("A.b+C@x. y.example,"), F.lit("no address"), F.lit("two@at@x"), F.concat(F.lit("q\u200b"), k, F.lit("@sub.domain.example")))
+    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.clean_display_name(name).alias("name"), text.clean_email(mail).alias("email"))
+    return raw.withColumn("norm", text.norm_name(text.nfkc("name")))
+
+
+@query(
+    "timestamps",
+    "SELECT event_id, CASE WHEN event_id % 13 > 10 THEN NULL WHEN event_id % 13 IN (1, 3, 5, 7, 9) THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS at FROM events",
+)
+def timestamps(spark, sf_dir):
+    """Every format that timestamps come in, and what is none."""
+    which = F.lit(None).cast("string")
+    for k, f in enumerate(text.TIMESTAMP_FORMATS):
+        which = F.when(F.col("event_id") % 13 == k, F.date_format("ts", f)).otherwise(which)
+    raw = F.when(F.col("event_id") % 13 == 11, "--").when(F.col("event_id") % 13 == 12, "31/31/2024 25:00").otherwise(which)
+    return table(spark, sf_dir, "events").select("event_id", text.parse_timestamp(F.concat(F.lit(' "'), raw, F.lit('"'))).alias("at"))
+
+
+CLOCKS = "SELECT user_id, event_id, {clock} AS clock, {day} AS day, user_id % 3 = 0 OR (user_id % 3 = 2 AND event_id % 2 = 0) AS dated, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events"
 
 
-SAYINGS = ["i have paid for the program", "payment link not working", "what is the price", "no audio", "this is a scam", "what is a prompt?", "yes", "how to join the course"]
-SAID = "CASE user_id % 8 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(SAYINGS)) + " END"
-EXPECTED = ["purchase intent high", "purchase intent high", "strong interest", "no clear intent", "negative engagement", "information seeking", "no clear intent", "purchase intent high"]
-PERSONS = "SELECT user_id, CAST(sum(CASE WHEN event_type NOT IN ('view', 'signup') AND user_id % 9 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY user_id"
+@query(
+    "chat_clocks",
+    f"""WITH RECURSIVE e AS ({CLOCKS.replace("{clock}", "CAST(epoch(date_trunc('second', ts)::TIME) AS BIGINT)").replace("{day}", "CAST(ts AS DATE)")}), f AS (SELECT user_id, min(day) FILTER (dated) AS first FROM e GROUP BY user_id),
+    w AS (SELECT e.user_id, e.k, 0 AS days, CASE WHEN dated THEN clock + 86400 * greatest(0, day - first) ELSE clock END AS sec FROM e JOIN f USING (user_id) WHERE k = 1
+      UNION ALL SELECT e.user_id, e.k, CASE WHEN NOT dated AND clock + 86400 * w.days < w.sec - 43200 THEN w.days + 1 ELSE w.days END,
+        CASE WHEN dated THEN clock + 86400 * greatest(0, day - first) WHEN clock + 86400 * w.days < w.sec - 43200 THEN clock + 86400 * (w.days + 1) ELSE clock + 86400 * w.days END FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1 JOIN f ON f.user_id = e.user_id)
+    SELECT user_id, k AS block_id, CAST(sec AS INTEGER) AS sec FROM w""",
+)
+def chat_clocks(spark, sf_dir):
+    """Files that are dated throughout, not at all, and at every other header."""
+    rows = _sql(spark, sf_dir, CLOCKS.replace("{clock}", "date_format(ts, 'HH:mm:ss')").replace("{day}", "date_format(ts, 'yyyy-MM-dd ')"))
+    head = F.concat(F.when(F.col("dated"), F.col("day")).otherwise(""), "clock", F.lit(" From A to Everyone:"))
+    lines = rows.select("user_id", F.posexplode(F.array(head, F.lit("\tx"))).alias("i", "line"), "k").select("user_id", (2 * F.col("k") + F.col("i")).alias("line_no"), "line")
+    return chatlog.blocks(lines, ["user_id"]).select("user_id", "block_id", "sec")
+
+
+SAYINGS = made_session.SAYINGS
+SAID = made_session.SAYING
+#: Scores by saying; two of the sayings are of one word, which is no meaningful message.
+SCORES = {0: (6, 0, 5), 1: (6, 0, 5), 7: (0, 5, 0)}
+_SCORE = lambda k: "CASE user_id % 8 " + " ".join(f"WHEN {i} THEN {v[k]}" for i, v in SCORES.items()) + " ELSE 0 END"
+
+
+@query(
+    "dimension_scores",
+    f"""SELECT user_id, {_SCORE(0)} AS D1, {_SCORE(1)} AS D4, {_SCORE(2)} AS D7, count(*) FILTER (user_id % 8 NOT IN (5, 6) OR event_id % 10 = 9) AS mean, count(*) FILTER (user_id % 8 IN (0, 1) AND event_id % 10 < 9) AS intent, count(*) FILTER (user_id % 8 = 4) AS neg,
+    count(*) FILTER (event_id % 10 = 9) AS pasted, count(*) FILTER (event_id % 10 = 9 AND user_id % 8 IN (0, 1)) AS pasted_blocked FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 10 < 9) > 0""",
+)
+def dimension_scores(spark, sf_dir):
+    """Banks, dimensions, meaningful and negative messages; every tenth message was pasted and credits nothing."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", f"concat({SAID}, if(event_id % 10 = 9, ' 3 hrs ago', '')) AS m")
+    rows = rows.join(rows.filter("event_id % 10 < 9").select("user_id").distinct(), "user_id", "left_semi")
+    found = scoring.dimension_scores(rows, "user_id", "m", made_session.BANKS)
+    return found.select("user_id", "D1", "D4", "D7", "mean", "intent", "neg", "pasted", "pasted_blocked")
 
 
 @query(
     "engagement_category",
-    f"""WITH p AS ({PERSONS}) SELECT user_id, n AS n_msgs, CASE WHEN user_id % 10 = 3 THEN 'non attended' WHEN n = 0 THEN 'non chatted' ELSE CASE user_id % 8 {" ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(EXPECTED))} END END AS category FROM p""",
+    f"""WITH p AS (SELECT user_id, CAST(count(*) FILTER (event_type NOT IN ('view', 'signup')) AS BIGINT) AS n, CAST(count(*) FILTER (event_type NOT IN ('view', 'signup') AND event_id % 3 > 0) AS BIGINT) AS several FROM events GROUP BY user_id)
+    SELECT user_id, n AS n_msgs, CASE WHEN user_id % 10 = 3 THEN 'non attended' WHEN n = 0 THEN 'non chatted' ELSE CASE user_id % 8 {" ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(made_session.CATEGORIES))} END END AS category,
+      CASE WHEN user_id % 10 = 3 THEN 'registered, never joined' WHEN user_id % 8 = 7 THEN 'use-case/profession fit (D4=5)' || CASE WHEN n > 2 THEN '; ' || n || ' meaningful msgs' ELSE '' END WHEN user_id % 8 = 6 THEN 'only greetings/generic chat, no substantive signal; watched 50% of session' END AS some_basis FROM p""",
 )
 def engagement_category(spark, sf_dir):
-    """Signals of each person's messages, then the ladder of categories."""
+    """Signals and dimensions of everybody's messages, then the ladder of categories; the basis where it is short."""
     events = table(spark, sf_dir, "events")
-    said = events.filter("event_type NOT IN ('view', 'signup') AND user_id % 9 <> 0").selectExpr("user_id", f"{SAID} AS m")
-    sums = signals.person_signals(said, "user_id", "m")
-    persons = events.select("user_id").distinct().join(sums, "user_id", "left")
+    said = events.filter("event_type NOT IN ('view', 'signup')").selectExpr("user_id", f"{SAID} AS m")
+    dims = scoring.dimension_scores(said, "user_id", "m", made_session.BANKS).drop("pos", "pasted", "pasted_blocked", "cat")
+    persons = events.select("user_id").distinct().join(dims, "user_id", "left").join(signals.person_signals(said, "user_id", "m"), "user_id", "left")
     facts = {"attended": F.col("user_id") % 10 != 3, "chatted": F.col("n_msgs").isNotNull(), "pct": F.lit(50.0), "cta": F.lit(None).cast("boolean"), "pricing": F.lit(False), "orphan": F.lit(False), "no_text": F.lit(False)}
-    facts |= {d: F.lit(0) for d in ("D1", "D3", "D4", "D5", "D7", "intent", "neg", "mean")}
-    return categorize.categorized(persons.withColumns(facts)).select("user_id", F.coalesce("n_msgs", F.lit(0)).cast("long").alias("n_msgs"), "category")
+    rows = categorize.categorized(persons.withColumns(facts))
+    told = F.when((F.col("user_id") % 10 == 3) | (F.col("user_id") % 8).isin(6, 7), F.col("basis"))
+    return rows.select("user_id", F.coalesce("n_msgs", F.lit(0)).cast("long").alias("n_msgs"), "category", told.alias("some_basis"))
 
 
 RAW = ["readyyyyyy", "Yes yes yes yes", "what is the fees??", "MB MB MB", "hello!!! hello!!!", "can you tell me the duration", "10x  10 X 10x"]
@@ -374,41 +430,40 @@ CLEAN = ["ready", "Yes", "what is the fees?", "MB", "hello!", "can you tell me t
 @query(
     "cleaned_messages",
     "WITH r AS (SELECT user_id, event_id % 7 AS k, min(event_id) AS a, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, CASE k " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLEAN)) + " END AS m FROM r) "
-    "SELECT user_id, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k IN (2, 5)), '') AS relevant, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k NOT IN (2, 4, 5)), '') || '' AS deleted, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS dup_removed FROM c WHERE k <> 4 GROUP BY user_id",
+    "SELECT user_id, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k IN (2, 4, 5)), '') AS relevant, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k NOT IN (2, 4, 5)), '') AS deleted, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS dup_removed FROM c GROUP BY user_id",
 )
 def cleaned_messages(spark, sf_dir):
     """Messages of each person cleaned, without duplicates, split into relevant and ignorable."""
     raw = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(RAW)) + " END AS m"
-    rows = table(spark, sf_dir, "events").filter("event_id % 7 <> 4").selectExpr("user_id", "event_id", raw)
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", raw)
     out = cleaner.process_messages(rows, "user_id", "event_id", "m")
     return out.select("user_id", "relevant", "deleted", F.col("raw").cast("long").alias("raw"), F.col("dup_removed").cast("long").alias("dup_removed"))
 
 
+NEAR = ["please tell me the duration of the course", "please tell me the duration of the courses", "please tell me the duratoin of the course", "what is the price"]
+_NEAR = "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(NEAR)) + " END"
+
+
 @query(
-    "cleaned_messages_all",
-    "WITH r AS (SELECT user_id, event_id % 7 AS k, min(event_id) AS a, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, CASE k " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLEAN)) + " END AS m FROM r) "
-    "SELECT user_id, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k IN (2, 4, 5)), '') AS relevant, coalesce(string_agg(m, ' | ' ORDER BY a) FILTER (k NOT IN (2, 4, 5)), '') AS deleted, CAST(sum(n) AS BIGINT) AS raw, CAST(sum(n) - count(*) AS BIGINT) AS dup_removed FROM c GROUP BY user_id",
+    "near_messages",
+    f"""WITH r AS (SELECT user_id, event_id % 4 AS k, min(event_id) AS a, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT user_id, min(a) FILTER (k < 3) AS a, bool_or(k = 0) AND bool_or(k = 1) AS begins, arg_max(k, a) FILTER (k < 3) AS last, min(a) FILTER (k = 3) AS other, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY user_id)
+    SELECT user_id, concat_ws(' | ', CASE WHEN other < a THEN '{NEAR[3]}' END, CASE WHEN begins THEN '{NEAR[1]}' WHEN last = 0 THEN '{NEAR[0]}' WHEN last = 1 THEN '{NEAR[1]}' WHEN last = 2 THEN '{NEAR[2]}' END, CASE WHEN other > a OR a IS NULL THEN '{NEAR[3]}' END) AS relevant,
+      n - CASE WHEN a IS NULL THEN 0 ELSE 1 END - CASE WHEN other IS NULL THEN 0 ELSE 1 END AS dup_removed FROM u""",
 )
-def cleaned_messages_all(spark, sf_dir):
-    """``cleaned_messages`` over every event, the repeated 'hello!!!' included."""
-    raw = "CASE event_id % 7 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(RAW)) + " END AS m"
-    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", raw)
+def near_messages(spark, sf_dir):
+    """Wordings of one message: the longer one where one begins the other, else the last one, at the place of the first."""
+    rows = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", f"{_NEAR} AS m")
     out = cleaner.process_messages(rows, "user_id", "event_id", "m")
-    return out.select("user_id", "relevant", "deleted", F.col("raw").cast("long").alias("raw"), F.col("dup_removed").cast("long").alias("dup_removed"))
+    return out.select("user_id", "relevant", F.col("dup_removed").cast("long").alias("dup_removed"))
 
 
 @query(
-    "engagement_results",
-    f"""WITH {ATTR}, n AS (SELECT key_email, CAST(sum(n_lines) AS BIGINT) AS messages FROM att WHERE key_email IS NOT NULL GROUP BY key_email),
-    m AS (SELECT *, max(l) OVER (PARTITION BY room, key_email ORDER BY j, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM seg),
-    p AS (SELECT key_email, any_value(norm) AS name, any_value(room) AS room, CAST(sum(greatest(l - greatest(j, coalesce(pe, j)), 0)) AS BIGINT) AS seconds FROM m GROUP BY key_email)
-    SELECT p.key_email, p.name, p.room, p.seconds, coalesce(n.messages, 0) AS messages, CASE WHEN n.messages IS NULL THEN 'No' ELSE 'Yes' END AS chatted FROM p LEFT JOIN n USING (key_email)""",
+    "audit",
+    """WITH m AS (SELECT CASE event_id % 6 WHEN 0 THEN 'what is the price' WHEN 1 THEN 'from pune' WHEN 2 THEN 'Yes' WHEN 3 THEN 'price 😀 of it' WHEN 4 THEN 'go on go on' ELSE '12,5 %' END AS m, event_id % 6 AS k FROM events), g AS (SELECT k, m, count(*) AS n FROM m GROUP BY k, m)
+    SELECT CASE k WHEN 3 THEN 'bad_chars' WHEN 4 THEN 'repeats' WHEN 1 THEN 'freq_suspects' ELSE 'vocab_leaks' END AS kind, CASE k WHEN 3 THEN '😀' WHEN 2 THEN 'yes' ELSE m END AS value, CAST(n AS BIGINT) AS n FROM g WHERE k > 0 AND (k <> 1 OR n >= 40)""",
 )
-def engagement_results(spark, sf_dir):
-    """A row for each person: presence, attributed messages."""
-    own = segments(spark, sf_dir)
-    said = attribution.attributed(chat(spark, sf_dir), own).filter("key_email IS NOT NULL").groupBy("key_email").agg(F.sum("n_lines").alias("messages"))
-    time = roster.interval_union(own, ["room", "key_email"], "j", "l").select("room", "key_email", F.col("covered").alias("seconds"))
-    names = own.groupBy("room", "key_email").agg(F.min("norm").alias("name"))
-    rows = names.join(time, ["room", "key_email"]).join(said, "key_email", "left")
-    return rows.select("key_email", "name", "room", "seconds", F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.when(F.col("messages").isNull(), "No").otherwise("Yes").alias("chatted"))
+def audit(spark, sf_dir):
+    """Cells of relevant messages with what should not be in them."""
+    said = "CASE event_id % 6 WHEN 0 THEN 'what is the price' WHEN 1 THEN 'from pune' WHEN 2 THEN 'Yes' WHEN 3 THEN 'price 😀 of it' WHEN 4 THEN 'go on go on' ELSE '12,5 %' END"
+    cells = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list(F.expr(said)), " | ").alias("relevant"))
+    return cleaner.audit(cells).select("kind", "value", "n")

@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chatlog, roster
 
-MEMBERS = "path string, member string, member_ord int, room string, content binary, note string"
+MEMBERS = "upload_ord long, path string, member string, member_ord int, room string, content binary, note string"
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """path, content of all files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    """upload_ord (time of writing), path, content of all files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.unix_micros("modificationTime").alias("upload_ord"), "path", "content")
 
 
 def members(files: DataFrame) -> DataFrame:
-    """path, member, member_ord, room, content, note: each file, or each .csv and .txt member of an archive.
+    """upload_ord, path, member, member_ord, room, content, note: each file, or each .csv and .txt member of an archive.
 
     A compressed file is inflated and loses its ``.gz``; a member's room is the folder it is in, or ``root``; what can't be
     read becomes a note and fails nothing.
@@ -31,10 +32,10 @@ def members(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_pylist(list(_read(path, content or b"")), pa.schema([("path", pa.string()), ("member", pa.string()), ("member_ord", pa.int32()), ("room", pa.string()), ("content", pa.binary()), ("note", pa.string())]))
+            for k, path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_pylist([{"upload_ord": k} | row for row in _read(path, content or b"")], pa.schema([("upload_ord", pa.int64()), ("path", pa.string()), ("member", pa.string()), ("member_ord", pa.int32()), ("room", pa.string()), ("content", pa.binary()), ("note", pa.string())]))
 
-    return files.select("path", "content").mapInArrow(run, MEMBERS)
+    return files.select("upload_ord", "path", "content").mapInArrow(run, MEMBERS)
 
 
 def _read(path: str, content: bytes) -> Iterator[dict]:
@@ -63,23 +64,40 @@ def _read(path: str, content: bytes) -> Iterator[dict]:
 
 
 def without_copies(members: DataFrame) -> DataFrame:
-    """The first of members with the same bytes; only hashes are compared."""
-    w = Window.partitionBy("hash").orderBy("path", "member_ord")
+    """The first upload of members with the same bytes; only hashes are compared."""
+    order = ["upload_ord", "path", "member_ord"]
     rows = members.filter("content IS NOT NULL").withColumn("hash", F.md5("content"))
-    first = rows.select("hash", "path", "member_ord").withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
-    return rows.join(first, ["hash", "path", "member_ord"], "left_semi").drop("hash")
+    first = rows.groupBy("hash").agg(F.min(F.struct(*order)).alias("f")).select("hash", "f.*")
+    return rows.join(first, ["hash", *order], "left_semi").drop("hash")
 
 
 def sorted_out(members: DataFrame) -> DataFrame:
-    """path, member, member_ord, room, text, role: attendee, chat or unusable, by content and not by name."""
+    """upload_ord, path, member, member_ord, room, text, role: attendee, chat or unusable, by content and not by name."""
     rows = members.withColumn("text", text.decode_bytes(F.col("content"))).drop("content")
     lines = text.lines(F.col("text"))
-    report = F.exists(lines, lambda x: x.startswith(roster.EXACT_HEADER) | (x.startswith("Attended,") & x.contains(roster.NAME) & x.contains(roster.EMAIL)))
     low = F.lower("member")
-    role = F.when(low.endswith(".csv") & report, "attendee").when(low.endswith(".txt") & chatlog.looks_like_chat(lines), "chat").otherwise("unusable")
+    role = F.when(low.endswith(".csv") & F.exists(lines, roster.is_header), "attendee").when(low.endswith(".txt") & chatlog.looks_like_chat(lines), "chat").otherwise("unusable")
     return rows.withColumn("role", role)
 
 
+def rooms(files: DataFrame) -> DataFrame:
+    """room, file_ord, role, text of the usable files, numbered by upload within room and role; a room with none is no room."""
+    order = Window.partitionBy("room", "role").orderBy("upload_ord", "path", "member_ord")
+    return files.filter("role <> 'unusable'").withColumn("file_ord", F.row_number().over(order)).select("room", "file_ord", "role", "text")
+
+
+def notes(members: DataFrame) -> DataFrame:
+    """path, member, note: what was left out of the uploads and why."""
+    own = ["upload_ord", "path", "member_ord"]
+    whole = members.filter("content IS NOT NULL")
+    kept = without_copies(members)
+    copies = whole.join(kept.select(*own), own, "left_anti").select("path", "member", F.lit("duplicate copy skipped").alias("note"))
+    unread = members.filter("note IS NOT NULL").select("path", "member", "note")
+    said = F.when(F.lower("member").endswith(".csv"), "no attendee section: ignored").when(F.lower("member").endswith(".txt"), "no chat headers: ignored")
+    unusable = sorted_out(kept).filter("role = 'unusable'").select("path", "member", said.alias("note")).filter("note IS NOT NULL")
+    return unread.unionByName(copies).unionByName(unusable)
+
+
 def paired(reports: DataFrame, chats: DataFrame, order: str = "upload_ord") -> DataFrame:
     """Loose files as rooms: one report takes all chats; as many of both pair by order; no chats are fine.
 
