@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import CHUNK_CHARS, vocabulary
+from .byte_bpe import vocabulary
 from .common import blocks, documents, text_list
 
 #: Items that are partitioned together, and ids of an item at most.
 BLOCK_ITEMS = 2048
 CUT = 512
+#: Code points that are encoded together, and pieces that a worker holds before they go.
+CHUNK_CHARS, HELD = 5_000_000, 4_000
 #: Sequences of one input partition are told apart by so many bits.
 LOCAL_BITS = 36
 
@@ -151,7 +153,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut:
                 for key, i, j in zip(keys[a:b], at, at[1:]):
                     for piece, length in pieces(ids[i:j], key, j - i):
                         rows += packer.add(piece, length)
-                    if len(rows) > 20_000:
+                    if len(rows) > HELD:
                         yield out(rows)
                         rows = []
         rows += packer.flush()
