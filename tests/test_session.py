@@ -1,9 +1,15 @@
 """Whole sessions with invented people, from files to delivered rows."""
 
+import csv
+import io
+import json
+import zipfile
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import scoring
+from parley.operators import people, scoring, sinks
 from parley.plans import session
 
 HEAD = "Attended,User Name (Original Name),First Name,Last Name,Email,Phone,Registration Time,Approval Status,Join Time,Leave Time,Time in Session (minutes),Is Guest,Country/Region Name"
@@ -53,6 +59,16 @@ TALK = """2026-08-09 10:51:00 From Buyer Person to Everyone:
 """
 
 
+def sheets(path):
+    """The cells of the workbook's sheets."""
+    space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        strings = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        for name in ("xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml"):
+            rows = ElementTree.fromstring(z.read(name)).iter(f"{space}row")
+            yield [[strings[int(c[0].text)] if c.get("t") == "s" else c[0].text for c in row] for row in rows]
+
+
 def of_texts(spark, *files, **options):
     table = spark.createDataFrame([(r, k, role, t) for r, k, role, t in files], "room string, file_ord int, role string, text string")
     return session.Session.of_files(table, BANKS, session.Options(**options))
@@ -76,6 +92,24 @@ def test_smoke_session_from_a_folder(spark, tmp_path):
     ordered = [r["category"] for r in own.ordered().collect()]
     assert ordered[0] == "purchase intent high" and ordered[-1] == "non attended"
 
+    sinks.csv_file(own.deliver(), own.audit, str(tmp_path / "leads.csv"), extras=True)
+    raw = (tmp_path / "leads.csv").read_bytes()
+    table = list(csv.DictReader(io.StringIO(raw.decode("utf-8-sig"), newline="")))
+    assert raw.startswith(b"\xef\xbb\xbf") and [r["Engagement category"] for r in table] == ordered and table[-1]["Attended?"] == "No"
+    sinks.write_xlsx(own.deliver(), own.audit, own.report, str(tmp_path / "leads.xlsx"), extras=True)
+    leads, told = sheets(tmp_path / "leads.xlsx")
+    assert leads[0][:3] == ["Customer name", "Customer email", "Country code"] and len(leads) == 7 and [r[4] for r in leads[1:]] == ordered
+    assert leads[1][3] == "9845344701" and float(leads[1][10]) == 219.0
+    assert ["  purchase intent high", "1"] in told and ["Chat-clean audit (must be 0/0/0)", "bad_chars=0 repeats=0 vocab_leaks=0"] in told
+    found = json.loads(own.summary.first()["summary"])
+    assert found["rows"] == 6 and found["audit"] == {"bad_chars": 0, "repeats": 0, "vocab_leaks": 0} and found["category_counts"]["non attended"] == 1
+    assert found["session_date"] == "2026-08-09" and found["attribution"]["msgs_attributed"] == 7 and not found["have_offsets"]
+    with pytest.raises(sinks.GateError):
+        sinks.write_xlsx(own.results, spark.createDataFrame([("repeats", "x x", 1)], "kind string, value string, n int"), own.report, str(tmp_path / "no.xlsx"))
+    assert not (tmp_path / "no.xlsx").exists()
+    shown = people.shown(own.results).filter("e = 'token@example.invalid'").first()
+    assert (shown["del"], shown["rel"], shown["p"]) == (["10x", "bonus"], [], "+91 9845344705") and people.matching(own.results, "non attended", " NOSHOW ").count() == 1
+
 
 def test_scripts_survive(spark):
     rows = report(person("Ravi Kumar", "ravik9382@gmail.com", "9845344750", at(10, 50), at(14, 10)), person("Tata Fan", "tatafan1988@gmail.com", "9812345670", at(10, 50), at(14, 10)), minutes=225)
