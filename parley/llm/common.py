@@ -1,9 +1,7 @@
-"""Helpers shared by the corpus operators: reading, row ids, tables in the shared folder, bounded batches."""
+"""Helpers shared by the corpus operators: reading, row ids, joins without hot keys, bounded batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import drop, materialize, shared_folder
+
+__all__ = ["drop", "materialize", "shared_folder"]
+
 #: Code points that one block of a vectorised operator holds; a longer text is a block by itself.
 BLOCK_CHARS = 2_000_000
 
@@ -30,44 +32,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's own folder below the one that driver and executors share, which spark.checkpoint.dir names.
-
-    Where that is unset a local session takes a temporary folder; a cluster has none that all machines see, so it is an error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        elif sc.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="parley-shared-")
-            sc.setCheckpointDir(folder)
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/parley-{sc.applicationId}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors, runs the plan one time."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._parley_path = path
-    return table
-
-
-def drop(*tables: DataFrame | None) -> None:
-    """Deletes what ``materialize`` wrote, once nothing reads it any more."""
-    for table in tables:
-        if table is not None:
-            spark = table.sparkSession
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._parley_path)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def numbered(docs: DataFrame, column: str) -> DataFrame:
     """The rows with an id each, the same at every reading.
 

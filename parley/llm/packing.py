@@ -14,8 +14,10 @@ further columns of the input are ignored; a text of any length is cut.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -112,11 +114,21 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut: int = CUT, with_ids: bool = True, special: str | None = "<|endoftext|>", special_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@lru_cache(maxsize=4)
+def special_string(path: str) -> tuple[str | None, int]:
+    """The special string of a vocabulary file and its id."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if len(added) > 1:
+        raise ValueError("one special string at most is supported")
+    return (added[0]["content"], added[0]["id"]) if added else (None, -1)
+
+
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut: int = CUT, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of the documents' ids: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids.
 
-    ``path``: a byte-level vocabulary; its ids and then ``end_id`` are a document.  ``special``: the vocabulary's special
-    string, an id by itself wherever it stands.
+    ``path``: a byte-level vocabulary; its ids and then ``end_id`` are a document.  The vocabulary's special string is an id by
+    itself wherever it stands.
     """
     source = docs.select(id_col, F.col(text_col).alias("__text"))
     key = source.schema[id_col].dataType.simpleString()
@@ -146,7 +158,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut:
             kind = batch.schema.field(0).type
             texts, keys = text_list(batch, "__text"), batch.column(0).to_pylist()
             for a, b in blocks(texts, CHUNK_CHARS):
-                ids, begin = vocabulary(path).encode_block(texts[a:b], special, special_id)
+                ids, begin = vocabulary(path).encode_block(texts[a:b], *special_string(path))
                 # The end id goes in behind each document.
                 ids = np.insert(ids.astype("<u4"), begin[1:], end_id)
                 at = (begin + np.arange(len(begin))).tolist()

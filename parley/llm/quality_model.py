@@ -5,7 +5,7 @@ as arrays in heap order, so that scoring a block of documents is ``depth`` vecto
 Fitted in the driver on at most ``SAMPLE`` labelled rows that are not held out: executors compute the statistics and only
 these numbers are collected.
 
-Defined results: null and empty texts have the statistics of an empty text and a score; without labels of both kinds every
+Defined results: a very long text is one block and read whole; null and empty texts have the statistics of an empty text and a score; without labels of both kinds every
 score is the share of label 1, or 0.5 without labels; repeated rows are scored each; an empty table gives an empty table;
 further columns of the input are ignored.
 """

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from . import byte_bpe, exact_dedup, html_text, near_dup, packing, pii, quality_model, quality_rules, token_counts, toxicity
+from .common import documents
 
 
-def pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+def quality_rule_ablations(spark, sf_dir):
+    """What each rule of each policy drops, from the ledger of all documents."""
+    return quality_rules.ablations(quality_rules.ledger(documents(spark, sf_dir)))
 
 
 QUERIES = {
@@ -19,10 +19,10 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_html_text": html_text.op6_html_text,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "quality_rule_ablations": quality_rule_ablations,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_near_dup": near_dup.op9_near_dup,
     "op10_token_counts": token_counts.op10_token_counts,
-    "pipeline": pipeline,
 }
 
 ORACLE = {

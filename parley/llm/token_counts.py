@@ -4,7 +4,7 @@ Each block of documents is split into pre-tokens; the distinct ones are counted
 by number to the block's (document, pre-token) frequencies and summed.  Ids are never made into a column or an array.  The
 join is local to a block: a global one would shuffle every (document, pre-token) pair, several times the input.
 
-Defined results: null and empty text count 0 tokens and 0 bytes; repeated rows are counted each; an empty table gives an
+Defined results: a very long text is counted whole, as one block; null and empty text count 0 tokens and 0 bytes; repeated rows are counted each; an empty table gives an
 empty table; further columns of the input are ignored.
 """
 

@@ -125,6 +125,15 @@ def test_packing(docs, nothing):
             assert offset == end
             end += length
         assert end <= 2048
+    # A document's pieces follow each other without gap or overlap, and padding stays under 2 % where there is enough to pack.
+    by_text = collections.Counter()
+    for r in rows:
+        by_text[r["doc_id"], r["start"], r["length"], r["doc_tokens"]] += 1
+    for (doc, n), c in collections.Counter((i, len(t)) for (i, t), k in want.items() for _ in range(k)).items():
+        own = sorted((s, k, times) for (i, s, k, m), times in by_text.items() if i == doc and m == n)
+        assert sum(k * times for _, k, times in own) == n * c
+        if c == 1:
+            assert [s for s, _, _ in own] == list(np.cumsum([0, *(k for _, k, _ in own)])[:-1])
     for (doc, n), parts in ids.items():
         mine = [t for (i, t), c in want.items() if i == doc and len(t) == n for _ in range(c)]
         assert sum(len(p) for _, p in parts) == n * len(mine)
@@ -133,6 +142,13 @@ def test_packing(docs, nothing):
     assert packing.pack(nothing, BPE).count() == 0
 
 
+def test_packing_leaves_little_padding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    used = packing.pack(docs, BPE, with_ids=False).groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    n, total = used.agg(F.count(F.lit(1)), F.sum("n")).first()
+    assert used.filter("n > 2048").isEmpty() and total >= 0.98 * 2048 * n
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(0).integers(1, 513, 700)
     window = packing.differencing(sizes, 80)
@@ -267,6 +283,33 @@ def test_near_dup(docs, nothing, spark):
     assert counted(near_dup.near_groups(table).collect()) == near_groups(rows)
 
 
+def test_near_dup_with_null_and_repeated_ids(spark, monkeypatch):
+    """Ids say nothing about rows; a key that all classes have is dealt to several tasks, in squares of a few rows."""
+    monkeypatch.setattr(near_dup, "SQUARE", 4)
+    monkeypatch.setattr(near_dup, "COMMON", 2)
+    rnd = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        own = passage + [f"x{i}.{k}" for k in range(rnd.choice([2, 5, 14, 20]))]
+        rows.append((None if i % 2 else i % 7, " ".join(own)))
+    rows += [(None, "some few other words here"), (None, "some few other words here"), (3, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_groups([(i, t or "") for i, t in rows])
+    assert counted(near_dup.near_groups(table).collect()) == want
+    written = common.materialize(table.repartition(2), "written")
+    assert counted(near_dup.near_groups(written).collect()) == want
+
+
+def test_rows_of_files_keep_their_numbers(spark, docs):
+    plan = common.numbered(docs, "row").select("doc_id", "row")
+    rows = plan.collect()
+    assert counted(plan.filter("doc_id IS NOT NULL").collect()) == counted(r for r in rows if r[0] is not None)
+    assert len({r["row"] for r in rows}) == len(rows) and plan.schema["row"].dataType.typeName() == "struct"
+    made = common.numbered(spark.range(5).toDF("doc_id"), "row")
+    assert made.select("row").distinct().count() == 5
+
+
 def test_part_keys_lose_no_link():
     rng = np.random.default_rng(1)
     empty = np.zeros(0, np.uint64)
@@ -436,6 +479,46 @@ def test_html_table(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_classifiers_on_rows_of_the_table(spark):
+    """Recall and precision on held-out rows of sf0.1 at the thresholds of the queries."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").filter(labelled.held_out())
+    for module, label, score in ((quality_model, "quality", quality_model.quality), (toxicity, "toxic", toxicity.toxicity)):
+        rows = score(held, module.fit(docs, labels)).join(labels, "doc_id").select("predicted", F.col(label).alias("y")).collect()
+        both = sum(r["predicted"] and r["y"] for r in rows)
+        assert both >= 0.9 * sum(r["y"] for r in rows) and both >= 0.9 * sum(r["predicted"] for r in rows)
+
+
+def test_trees_score_as_a_walk_does(labelled_docs):
+    docs, labels = labelled_docs
+    model = quality_model.fit(docs, labels)
+    x = quality_model.statistics([t or "" for t in texts()])
+
+    def walk(row):
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            total += leaf[at - len(feature)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])
+
+
+@pytest.mark.parametrize("module, score", [(quality_model, quality_model.quality), (toxicity, toxicity.toxicity)])
+def test_classifiers_on_awkward_rows(docs, labelled_docs, module, score):
+    """Repeated rows, nulls, clashing columns, very long texts: a score for each row, that of its text alone."""
+    model = module.fit(*labelled_docs)
+    long = docs.limit(1).withColumns({"doc_id": F.lit(77).cast("long"), "text": F.repeat(F.lit("dreadfool words "), 200_000)})
+    table = docs.unionByName(long).unionByName(docs)
+    rows = score(table, model).collect()
+    assert len(rows) == 2 * docs.count() + 1
+    made = (lambda t: model.score(quality_model.statistics([t]))[0]) if module is quality_model else (lambda t: model.score([t])[0])
+    want = {i: made(t) for i, t in pairs(docs) if i is not None}
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-9 for r in rows if r["doc_id"] in want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
