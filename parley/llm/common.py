@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -96,10 +97,19 @@ def map_texts(df: DataFrame, keep: list[str], text: str, columns: str, make: Cal
                 made = make(texts[a:b])
                 part = rest.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v) for v in made.values())], names=[*keep, *made])
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns to the system what a worker's task has freed: workers live on, and their peaks would add up over the stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # absent where the C library is another one
+    if trim is not None:
+        trim(0)
+
+
 class Recent:
     """Values by key: the last ``size`` keys put, and as many before them."""
 

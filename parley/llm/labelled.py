@@ -45,12 +45,13 @@ def with_scores(docs: DataFrame, score, threshold: float, id_col: str = "doc_id"
 
 def keep_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
     """The rows, with all columns, whose texts ``keep`` maps to true."""
-    from .common import blocks, text_list
+    from .common import blocks, give_back, text_list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_list(batch, text_col)
             for a, b in blocks(texts):
                 yield batch.slice(a, b - a).filter(pa.array(keep(texts[a:b]), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

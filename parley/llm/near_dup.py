@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, drop, join_counted, map_texts, materialize, numbered, text_list
+from .common import blocks, documents, drop, give_back, join_counted, map_texts, materialize, numbered, text_list
 from .components import components
 from .exact_dedup import ROW
 from .pretokens import powers
@@ -233,6 +233,7 @@ def part_keys(docs: DataFrame, text_col: str, words: int, percent: int, common:
                     ids.append(np.full(len(made), name, np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
+        give_back()
 
     return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "key long, id long")
 
@@ -266,6 +267,7 @@ def meeting(keys: DataFrame, hot: np.ndarray) -> DataFrame:
                 before, key, ident = key[-2], key[-1:], ident[-1:]
         if len(key) and (key[0] == before or np.isin(key[0], stays)):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident)], names=["key", "id"])
+        give_back()
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keys.mapInArrow(deal, "key long, id long, salt long").repartition(n, "key", "salt").sortWithinPartitions("key", "id")
@@ -285,6 +287,7 @@ def class_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, text_col:
                 size = np.fromiter(map(len, sets), np.int32, len(sets))
                 values = pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), np.cumsum(size, dtype=np.int32))), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), values, short_sketches(sets)], names=["id", "n", "s", "sketch"])
+        give_back()
 
     return rows.mapInArrow(run, "id long, n int, s array<long>, sketch array<long>")
 

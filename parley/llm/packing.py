@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import vocabulary
-from .common import blocks, documents, text_list
+from .common import blocks, documents, give_back, text_list
 
 #: Items that are partitioned together, and ids of an item at most.
 BLOCK_ITEMS = 2048
 CUT = 512
 #: Code points that are encoded together, and pieces that a worker holds before they go.
-CHUNK_CHARS, HELD = 5_000_000, 4_000
+CHUNK_CHARS, HELD = 2_000_000, 2_000
 #: Sequences of one input partition are told apart by so many bits.
 LOCAL_BITS = 36
 
@@ -171,6 +171,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut:
         rows += packer.flush()
         if rows:
             yield out(rows)
+        give_back()
 
     return source.mapInArrow(run, schema)
 
