@@ -26,7 +26,20 @@ def is_host(raw: Column, norm: Column, names: tuple[str, ...] = HOSTS, pattern:
 
 
 def blocks(lines: DataFrame, file: list[str]) -> DataFrame:
-    """``file``, block_id, line_no, sender, ts, sec, lines of each message block (from line_no, line).
+    """``file``, block_id, line_no, sender, ts, sec, lines of each message block (from line_no, line)."""
+    return timed(untimed(lines, file), file)
+
+
+def timed(rows: DataFrame, file: list[str]) -> DataFrame:
+    """``untimed`` blocks with ``sec``; blocks without a line, whose clocks count as well, go.
+
+    The rows are read three times, so a session writes them before.
+    """
+    return wrapped(rows, file, "block_id").filter(F.size("lines") > 0).drop("clock", "day")
+
+
+def untimed(lines: DataFrame, file: list[str]) -> DataFrame:
+    """``file``, block_id, line_no, sender, ts, clock, day, lines of each message block.
 
     A header opens a block and what follows up to the next header is its body; quotes and empty lines go, and so do blocks
     without a line.  Times grow by a day for each day after the file's first date; without a date a jump back of over twelve
@@ -41,8 +54,7 @@ def blocks(lines: DataFrame, file: list[str]) -> DataFrame:
     rows = marked.groupBy(*file, "block_id").agg(F.min("line_no").alias("line_no"), F.min_by("line", "line_no").alias("header"), F.array_sort(F.collect_list(said)).alias("said"))
     part = lambda k: F.regexp_extract("header", HEADER, k)
     day = F.when(F.col("header").rlike("^[0-9]{4}-"), F.left("header", F.lit(10))).try_cast("date")
-    typed = rows.select(*file, "block_id", "line_no", text.strip(part(2)).alias("sender"), part(1).alias("ts"), text.second_of_day(part(1)).alias("clock"), day.alias("day"), F.transform("said", lambda s: s["x"]).alias("lines"))
-    return wrapped(typed, file, "block_id").filter(F.size("lines") > 0).drop("clock", "day")
+    return rows.select(*file, "block_id", "line_no", text.strip(part(2)).alias("sender"), part(1).alias("ts"), text.second_of_day(part(1)).alias("clock"), day.alias("day"), F.transform("said", lambda s: s["x"]).alias("lines"))
 
 
 def wrapped(rows: DataFrame, file: list[str], order_by: str) -> DataFrame:

@@ -17,7 +17,8 @@ from . import session
 SAYINGS = ["i have paid for the program", "payment link not working", "what is the price", "no audio", "this is a scam", "prompts?", "yes", "i am a school teacher"]
 RELEVANT = [0, 1, 2, 3, 4, 5, 7]
 CATEGORIES = ["purchase intent high", "purchase intent high", "strong interest", "no clear intent", "negative engagement", "information seeking", "no clear intent", "moderate interest"]
-DURATION = 43_200
+#: Minutes of the session by its reports; the chats span less than half of them.
+DURATION = 100_000
 BANKS = scoring.Banks({
     "phrase_banks": {"payment": ["\\bpay(?:ment)?\\b", "\\bpaid\\b"], "work": ["\\bteacher\\b", "\\bengineer\\b"], "pos": ["\\bgreat\\b"]},
     "negativity_patterns": ["\\bscam\\b"], "noise_exact": ["ok", "yes"], "buying_categories": ["payment"],
@@ -57,8 +58,15 @@ def texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return top.unionByName(rows), talk
 
 
+_MADE: dict[tuple[str, str], session.Session] = {}
+
+
 def made(spark: SparkSession, sf_dir: str) -> session.Session:
-    return session.Session(*texts(spark, sf_dir), BANKS, session.Options(program="mastery"))
+    """The session, with its tables written once for an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MADE:
+        _MADE[key] = session.Session(*texts(spark, sf_dir), BANKS, session.Options(program="mastery"))
+    return _MADE[key]
 
 
 #: The same session on the table itself: seg, chat and att as they must be attributed, people and what they said.

@@ -24,6 +24,8 @@ from ..tables import drop, materialize
 MINUTES = 10
 CELL_MOST = 32_000
 WIDE = 1 << 32
+#: Lines of a file that stay together when lines are dealt.
+LINES = 10_000
 
 
 class InvariantError(Exception):
@@ -75,14 +77,22 @@ class Session:
     @classmethod
     def of_files(cls, files: DataFrame, banks: scoring.Banks, options: Options = Options()) -> Session:
         """From room, file_ord, role, text (see ``sources.session.rooms``)."""
-        own = lambda role: roster.numbered_lines(files.filter(F.col("role") == role).select("room", "file_ord", "text"))
-        return cls(own("attendee"), own("chat"), banks, options)
+        # Files are few and lines many: they are dealt anew, written once, and every later stage reads lines.
+        lines = roster.numbered_lines(files).repartition("room", "file_ord", "role", F.floor(F.col("line_no") / LINES))
+        lines = materialize(lines, "lines")
+        own = lambda role: lines.filter(F.col("role") == role).select("room", "file_ord", "line_no", "line")
+        session = cls(own("attendee"), own("chat"), banks, options)
+        session._tables.append(lines)
+        return session
 
     @classmethod
     def of_uploads(cls, uploads: DataFrame, banks: scoring.Banks, options: Options = Options()) -> Session:
         """From upload_ord, path, content of uploaded files: archives, compressed and plain ones."""
         members = sources.without_copies(sources.members(uploads))
-        return cls.of_files(sources.rooms(sources.sorted_out(members)), banks, options)
+        files = materialize(sources.rooms(sources.sorted_out(members)), "files")
+        session = cls.of_files(files, banks, options)
+        drop(files)
+        return session
 
     # -- reports
 
@@ -122,7 +132,9 @@ class Session:
 
     @cached_property
     def all_blocks(self) -> DataFrame:
-        return self._kept(chatlog.blocks(self.chats, ["room", "file_ord"]).withColumn("norm", _norm(F.col("sender"))), "blocks")
+        file = ["room", "file_ord"]
+        headed = self._kept(chatlog.untimed(self.chats, file), "headed")
+        return self._kept(chatlog.timed(headed, file).withColumn("norm", _norm(F.col("sender"))), "blocks")
 
     @cached_property
     def blocks(self) -> DataFrame:

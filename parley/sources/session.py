@@ -74,10 +74,15 @@ def without_copies(members: DataFrame) -> DataFrame:
 def sorted_out(members: DataFrame) -> DataFrame:
     """upload_ord, path, member, member_ord, room, text, role: attendee, chat or unusable, by content and not by name."""
     rows = members.withColumn("text", text.decode_bytes(F.col("content"))).drop("content")
-    lines = text.lines(F.col("text"))
     low = F.lower("member")
-    role = F.when(low.endswith(".csv") & F.exists(lines, roster.is_header), "attendee").when(low.endswith(".txt") & chatlog.looks_like_chat(lines), "chat").otherwise("unusable")
-    return rows.withColumn("role", role)
+
+    def role(content):
+        lines = text.lines(content)
+        report, chat = low.endswith(".csv") & F.exists(lines, roster.is_header), low.endswith(".txt") & chatlog.looks_like_chat(lines)
+        return F.when(report, "attendee").when(chat, "chat").otherwise("unusable")
+
+    # The text is bound, so that it is decoded once.
+    return rows.withColumn("role", F.element_at(F.transform(F.array("text"), role), 1))
 
 
 def rooms(files: DataFrame) -> DataFrame:
