@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,7 @@ from pandas._libs.hashtable import Int64HashTable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import Recent, blocks, documents, map_texts
-from .pretokens import Split, distinct, spread
+from .pretokens import Kinds, Split, spread
 
 #: Distinct pre-tokens that a worker remembers, twice at most.
 KINDS = 150_000
@@ -44,7 +45,8 @@ class RankQueue:
     def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
         if not len(ranks):
             return
-        order = np.argsort(ranks, kind="stable")
+        # Of 16 bits, numpy sorts by radix.
+        order = np.argsort(ranks.astype(np.uint16) if len(self.low) <= 1 << 10 else ranks, kind="stable")
         ranks, positions = ranks[order], positions[order]
         cut = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
         cut = [0, *cut.tolist(), len(ranks)]
@@ -101,6 +103,15 @@ class Vocabulary:
         self.rank = np.append(rank, NO_PAIR)  # -1, not found, reads the last
         self.merged = np.zeros(int(rank.max()) + 1, np.int64)
         self.merged[rank] = merged
+        # At a plain rank only one pair merges, of different ids, and the result is in pairs of higher ranks only: occurrences
+        # never overlap and none makes a pair that would come before the others, so all of them merge at once.
+        least = np.full(int(max(left.max(), right.max(), merged.max())) + 1, NO_PAIR)
+        np.minimum.at(least, left, rank)
+        np.minimum.at(least, right, rank)
+        plain = (np.bincount(rank) == 1) & (least[self.merged] > np.arange(len(self.merged)))
+        plain[rank[left == right]] = False
+        self.plain = plain.tolist()
+        self.byte_pairs = self.ranks_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
         self.queue = RankQueue(len(self.merged))
         self.whole = whole
         self.known = Recent(KINDS)
@@ -144,21 +155,21 @@ class Vocabulary:
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         n, queue = len(raw), self.queue
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        of = np.repeat(np.arange(len(pieces)), lengths)
+        ends = np.cumsum(lengths)
         # Position n is a wall that no pair has; one at each pre-token's end keeps the list from running on.
         ids = np.append(self.byte_ids[raw], -1)
         after = np.arange(1, n + 2)
         before = np.arange(-1, n)
         last = np.zeros(n + 1, bool)
-        last[np.cumsum(lengths) - 1] = True
+        last[ends - 1] = True
         last[n] = True
         start = np.zeros(n + 1, bool)
-        start[np.cumsum(lengths) - lengths] = True
+        start[ends - lengths] = True
         pending = np.full(n + 1, NO_PAIR)
         live = np.ones(n, bool)
         merged = np.zeros(n, bool)
         i = np.flatnonzero(~last[:n])
-        pending[i] = self.ranks_of(ids[i], ids[i + 1])
+        pending[i] = self.byte_pairs[raw[i].astype(np.int64) << 8 | raw[i + 1]]
         i = i[pending[i] < NO_PAIR]
         queue.push(pending[i], i)
         while (entry := queue.pop()) is not None:
@@ -167,8 +178,8 @@ class Vocabulary:
             if not len(p):
                 continue  # all stale
             made = self.merged[rank]
-            if len(p) > 1:
-                p = self._together(queue, rank, made, p, ids, after, before, last, start, of)
+            if len(p) > 1 and not self.plain[rank]:
+                p = self._together(queue, rank, made, p, ids, after, before, last, start, ends)
             j = after[p]
             k = after[j]
             after[p] = k
@@ -187,10 +198,10 @@ class Vocabulary:
             fresh = (new != old) & (new < NO_PAIR) | (new == rank)
             queue.push(new[fresh], touched[fresh])
         out = ids[:n][live].astype("<u4").tobytes()
-        ends = (np.cumsum(np.bincount(of[live], minlength=len(pieces))) * 4).tolist()
+        ends = (np.cumsum(live)[ends - 1] * 4).tolist()
         return [out[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _together(self, queue, rank, made, p, ids, after, before, last, start, of) -> np.ndarray:
+    def _together(self, queue, rank, made, p, ids, after, before, last, start, ends) -> np.ndarray:
         """Which of the positions may merge at once; what must wait goes back to the queue."""
         touch = after[p[:-1]] == p[1:]  # overlaps with the next: take every other one of such a chain
         if touch.any():
@@ -204,8 +215,9 @@ class Vocabulary:
         low = np.minimum(left, right) <= rank
         if not low.any():
             return p
-        careful = np.isin(of[p], np.unique(of[p][low]))
-        first = np.append(True, of[p][1:] != of[p][:-1])
+        of = np.searchsorted(ends, p, "right")
+        careful = np.isin(of, np.unique(of[low]))
+        first = np.append(True, of[1:] != of[:-1])
         wait = careful & ~first
         queue.push(np.full(int(wait.sum()), rank), p[wait])
         return p[~wait]
@@ -213,30 +225,43 @@ class Vocabulary:
     def look_up(self, kinds: list[str]) -> list[bytes]:
         """The ids of each distinct pre-token; one that the vocabulary has whole is its own id."""
         found = self.known.get(kinds)
-        new = [k for k, v in zip(kinds, found) if v is None]
-        if new:
+        at = [i for i, v in enumerate(found) if v is None]
+        if at:
+            new = [kinds[i] for i in at]
             raw = [k.encode() for k in new]
             whole = [self.whole.get(r) for r in raw]
             rest = iter(self.merge([r for r, w in zip(raw, whole) if w is None]))
             made = [next(rest) if w is None else w.to_bytes(4, "little") for w in whole]
             self.known.put(new, made)
-            fresh = dict(zip(new, made))
-            found = [fresh[k] if v is None else v for k, v in zip(kinds, found)]
+            for i, v in zip(at, made):
+                found[i] = v
         return found
 
+    def encode_parts(self, texts: list[str], special: str | None = None, special_id: int = -1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Ranges of the texts, their ids, and where each text's begin (and the total).
+
+        The new pre-tokens of all texts are merged together; only one block at a time is split, and spread.
+        """
+        kinds, parts = Kinds(), []
+        for a, b in blocks(texts):
+            split = Split(texts[a:b], special)
+            parts.append((a, b, kinds.number(split).astype(np.int32), split.doc_first))
+        found = self.look_up(kinds.strings)
+        if special in kinds.strings:
+            found[kinds.strings.index(special)] = special_id.to_bytes(4, "little")
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        values, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        for a, b, codes, doc_first in parts:
+            ids, begin = spread(values, first, size, codes)
+            yield a, b, ids, begin[doc_first]
+
     def encode_block(self, texts: list[str], special: str | None = None, special_id: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (and the total)."""
-        splits = [Split(texts[a:b], special) for a, b in blocks(texts)]
-        codes, kinds = distinct(splits)
-        if not kinds:
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        found = self.look_up(kinds)
-        if special in kinds:
-            found[kinds.index(special)] = special_id.to_bytes(4, "little")
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        ids, begin = spread(np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size, size, codes)
-        base = np.cumsum([0, *(len(s.starts) for s in splits)])
-        return ids, np.concatenate([*(begin[s.doc_first[:-1] + at] for s, at in zip(splits, base)), begin[-1:]])
+        ids, begin = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for _, _, part, at in self.encode_parts(texts, special, special_id):
+            ids.append(part)
+            begin.append(begin[-1][-1] + at[1:])
+        return np.concatenate(ids), np.concatenate(begin)
 
     def decode_block(self, ids: np.ndarray, begin: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids."""

@@ -32,8 +32,8 @@ from .common import blocks, documents, give_back, text_list
 #: Items that are partitioned together, and ids of an item at most.
 BLOCK_ITEMS = 2048
 CUT = 512
-#: Code points that are encoded together, and pieces that a worker holds before they go.
-CHUNK_CHARS, HELD = 2_000_000, 2_000
+#: Code points whose new pre-tokens are encoded together, and pieces that a worker holds before they go.
+CHUNK_CHARS, HELD = 8_000_000, 2_000
 #: Sequences of one input partition are told apart by so many bits.
 LOCAL_BITS = 36
 
@@ -158,16 +158,16 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut:
             kind = batch.schema.field(0).type
             texts, keys = text_list(batch, "__text"), batch.column(0).to_pylist()
             for a, b in blocks(texts, CHUNK_CHARS):
-                ids, begin = vocabulary(path).encode_block(texts[a:b], *special_string(path))
-                # The end id goes in behind each document.
-                ids = np.insert(ids.astype("<u4"), begin[1:], end_id)
-                at = (begin + np.arange(len(begin))).tolist()
-                for key, i, j in zip(keys[a:b], at, at[1:]):
-                    for piece, length in pieces(ids[i:j], key, j - i):
-                        rows += packer.add(piece, length)
-                    if len(rows) > HELD:
-                        yield out(rows)
-                        rows = []
+                for c, d, ids, begin in vocabulary(path).encode_parts(texts[a:b], *special_string(path)):
+                    # The end id goes in behind each document.
+                    ids = np.insert(ids.astype("<u4"), begin[1:], end_id)
+                    at = (begin + np.arange(len(begin))).tolist()
+                    for key, i, j in zip(keys[a + c : a + d], at, at[1:]):
+                        for piece, length in pieces(ids[i:j], key, j - i):
+                            rows += packer.add(piece, length)
+                        if len(rows) > HELD:
+                            yield out(rows)
+                            rows = []
         rows += packer.flush()
         if rows:
             yield out(rows)

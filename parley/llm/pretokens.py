@@ -9,8 +9,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
+from pandas._libs.hashtable import UInt64Factorizer
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The code points of the Unicode property White_Space.
@@ -123,23 +123,43 @@ class Split:
         return [text[i:j] for i, j in zip(self.starts[which].tolist(), self.ends[which].tolist())]
 
 
-def distinct(splits: list[Split]) -> tuple[np.ndarray, list[str]]:
-    """The number of each pre-token's kind over all splits, and the kinds in order of first appearance.
+class Kinds:
+    """Numbers the distinct pre-tokens of one split after another, in order of first appearance; ``strings`` are they.
 
-    Kinds are told apart by hash, with length and last character compared; a clash falls back to the strings.
+    Kinds are told apart by hash, with length and last character compared; from a clash on, by the strings.
     """
-    at = np.cumsum([0, *(len(s.starts) for s in splits)])
-    if not at[-1]:
-        return np.zeros(0, np.int64), []
-    codes, kinds = pd.factorize(np.concatenate([s.keys() for s in splits]))
-    where = np.zeros(len(kinds), np.int64)
-    where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    look = np.concatenate([(s.ends - s.starts) * 0x110000 + s.points[s.ends - 1] for s in splits if len(s.starts)])
-    if np.any(look[where][codes] != look):
-        codes, kinds = pd.factorize(np.array([x for s in splits for x in s.strings(np.arange(len(s.starts)))], object))
-        return codes, list(kinds)
-    cut = np.searchsorted(where, at)
-    return codes, [x for s, base, a, b in zip(splits, at, cut, cut[1:]) for x in s.strings(where[a:b] - base)]
+
+    def __init__(self):
+        self.strings: list[str] = []
+        self.table, self.look = UInt64Factorizer(1 << 16), np.zeros(0, np.int64)
+        self.by_string: dict[str, int] | None = None
+
+    def number(self, split: Split) -> np.ndarray:
+        """The number of each pre-token's kind."""
+        if not len(split.starts):
+            return np.zeros(0, np.int64)
+        if self.by_string is None:
+            n, codes = len(self.strings), self.table.factorize(split.keys())
+            look = (split.ends - split.starts) * 0x110000 + split.points[split.ends - 1]
+            new = np.flatnonzero(codes >= n)[::-1]
+            where = np.zeros(self.table.get_count() - n, np.int64)
+            where[codes[new] - n] = new  # the first appearance is written last
+            self.look = np.append(self.look, look[where])
+            if np.array_equal(self.look[codes], look):
+                self.strings += split.strings(where)
+                return codes
+            self.by_string = {x: i for i, x in enumerate(self.strings)}
+        known = self.by_string
+        codes = np.array([known.setdefault(x, len(known)) for x in split.strings(np.arange(len(split.starts)))], np.int64)
+        self.strings = list(known)
+        return codes
+
+
+def distinct(splits: list[Split]) -> tuple[np.ndarray, list[str]]:
+    """The number of each pre-token's kind over all splits, and the kinds in order of first appearance."""
+    kinds = Kinds()
+    codes = [kinds.number(s) for s in splits]
+    return np.concatenate([np.zeros(0, np.int64), *codes]), kinds.strings
 
 
 def spread(values: np.ndarray, first: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -99,6 +99,63 @@ def test_merges_go_one_at_a_time_where_a_merge_makes_a_lower_rank():
     assert [np.frombuffer(x, "<u4").tolist() for x in vocab.merge(raws)] == [slow(r) for r in raws]
 
 
+def test_merge_lists_with_results_in_lower_ranks():
+    rnd = random.Random(5)
+    for _ in range(60):
+        pieces, pairs = [b"a", b"b", b"c"], []
+        while len(pairs) < 12:
+            a, b = rnd.randrange(len(pieces)), rnd.randrange(len(pieces))
+            if a != b and (a, b) not in pairs and len(pieces[a] + pieces[b]) < 7:
+                pairs.append((a, b))
+                if pieces[a] + pieces[b] not in pieces:
+                    pieces.append(pieces[a] + pieces[b])
+        rnd.shuffle(pairs)
+        pieces, pairs = [*pieces, b"aa"] if b"aa" not in pieces else pieces, [(0, 0), *pairs]
+        merged = [pieces.index(pieces[a] + pieces[b]) for a, b in pairs]
+        vocab = byte_bpe.Vocabulary(pieces, (*np.array(pairs).T, np.arange(len(pairs)), np.array(merged)), {})
+
+        def slow(raw):
+            ids = [pieces.index(raw[i : i + 1]) for i in range(len(raw))]
+            while found := [(pairs.index(p), i) for i, p in enumerate(zip(ids, ids[1:])) if p in pairs]:
+                rank, i = min(found)
+                ids[i : i + 2] = [merged[rank]]
+            return ids
+
+        raws = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 25))) for _ in range(60)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in vocab.merge(raws)] == [slow(r) for r in raws]
+
+
+def test_blocks_of_a_chunk_are_merged_together_with_few_look_ups(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(6)
+    chunk = [" ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 12))) for _ in range(200)) for _ in range(40)]
+    chunk[7] = "<|endoftext|>".join(chunk[7:9])
+    vocab = byte_bpe.Vocabulary.from_merges(BPE)
+    merge, ranks_of, merges, looked = vocab.merge, vocab.ranks_of, [], []
+    monkeypatch.setattr(vocab, "merge", lambda pieces: merges.append(sum(map(len, pieces))) or merge(pieces))
+    monkeypatch.setattr(vocab, "ranks_of", lambda left, right: looked.append(len(left)) or ranks_of(left, right))
+    monkeypatch.setattr(byte_bpe, "blocks", lambda texts: common.blocks(texts, 10_000))
+    ids, begin = vocab.encode_block(chunk, *packing.special_string(BPE))
+    library = Tokenizer.from_file(BPE)
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [library.encode(t, add_special_tokens=False).ids for t in chunk]
+    # One merge of the new pre-tokens of all blocks; pairs of bytes come from a table, and a merge has two neighbours.
+    assert len(merges) == 1 and sum(looked) < 2 * merges[0]
+    parts = list(vocab.encode_parts(chunk, *packing.special_string(BPE)))
+    assert len(parts) > 5 and len(merges) == 1
+    assert np.array_equal(np.concatenate([p[2] for p in parts]), ids) and [b for _, b, _, _ in parts] == [*(a for a, _, _, _ in parts[1:]), len(chunk)]
+
+
+def test_pretokens_are_numbered_by_string_from_a_clash_on(monkeypatch):
+    splits = [pretokens.Split([t]) for t in ("one two one", "", "two three ten six", "six nine one")]
+    want = pretokens.distinct(splits)
+    keys = pretokens.Split.keys
+    monkeypatch.setattr(pretokens.Split, "keys", lambda s: np.where(s.ends - s.starts == 4, np.uint64(7), keys(s)))
+    codes, kinds = pretokens.distinct(splits)
+    assert kinds == want[1] == ["one", " two", " one", "two", " three", " ten", " six", "six", " nine"]
+    assert codes.tolist() == want[0].tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 2]
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
