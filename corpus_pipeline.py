@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from parley.llm import exact_dedup, near_dup, packing, pii, quality_model
 from parley.llm.common import drop, materialize, read_table
 
+#: Code points whose pre-tokens packing encodes together, few since the executors hold the stages before too.
+PACK_CHARS = 2_000_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
@@ -44,7 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in sequences of at most 2048."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, chunk_chars=PACK_CHARS)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("pii", personal_data), ("packing", pack)]

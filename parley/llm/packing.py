@@ -32,7 +32,7 @@ from .common import blocks, documents, give_back, text_list
 #: Items that are partitioned together, and ids of an item at most.
 BLOCK_ITEMS = 2048
 CUT = 512
-#: Code points whose new pre-tokens are encoded together, and pieces that a worker holds before they go.
+#: Code points that are encoded together unless asked otherwise, and pieces that a worker holds before they go.
 CHUNK_CHARS, HELD = 8_000_000, 2_000
 #: Sequences of one input partition are told apart by so many bits.
 LOCAL_BITS = 36
@@ -124,11 +124,12 @@ def special_string(path: str) -> tuple[str | None, int]:
     return (added[0]["content"], added[0]["id"]) if added else (None, -1)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut: int = CUT, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut: int = CUT, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Pieces of the documents' ids: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids.
 
     ``path``: a byte-level vocabulary; its ids and then ``end_id`` are a document.  The vocabulary's special string is an id by
-    itself wherever it stands.
+    itself wherever it stands.  ``chunk_chars``: code points whose new pre-tokens are encoded together; fewer need less memory
+    and more time.
     """
     source = docs.select(id_col, F.col(text_col).alias("__text"))
     key = source.schema[id_col].dataType.simpleString()
@@ -157,7 +158,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, cut:
         for batch in batches:
             kind = batch.schema.field(0).type
             texts, keys = text_list(batch, "__text"), batch.column(0).to_pylist()
-            for a, b in blocks(texts, CHUNK_CHARS):
+            for a, b in blocks(texts, chunk_chars):
                 for c, d, ids, begin in vocabulary(path).encode_parts(texts[a:b], *special_string(path)):
                     # The end id goes in behind each document.
                     ids = np.insert(ids.astype("<u4"), begin[1:], end_id)
