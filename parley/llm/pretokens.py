@@ -18,6 +18,8 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: Odd, and one above twice an odd number, so that powers keep the order of characters apart.
 BASE = 0x9E3779B97F4A7C13
 MASK = (1 << 64) - 1
+#: Words of two letters in the order of Thue and Morse have the same hash from 1,024 characters on.
+LONG = 256
 
 
 @lru_cache(maxsize=1)
@@ -126,7 +128,8 @@ class Split:
 class Kinds:
     """Numbers the distinct pre-tokens of one split after another, in order of first appearance; ``strings`` are they.
 
-    Kinds are told apart by hash, with length and last character compared; from a clash on, by the strings.
+    Kinds are told apart by hash, with length and last character compared, long ones with the strings compared too; from a
+    clash on, by the strings.
     """
 
     def __init__(self):
@@ -147,7 +150,10 @@ class Kinds:
             self.look = np.append(self.look, look[where])
             if np.array_equal(self.look[codes], look):
                 self.strings += split.strings(where)
-                return codes
+                long = np.flatnonzero(split.ends - split.starts >= LONG)
+                if all(self.strings[c] == x for c, x in zip(codes[long].tolist(), split.strings(long))):
+                    return codes
+                del self.strings[n:]
             self.by_string = {x: i for i, x in enumerate(self.strings)}
         known = self.by_string
         codes = np.array([known.setdefault(x, len(known)) for x in split.strings(np.arange(len(split.starts)))], np.int64)

@@ -156,6 +156,20 @@ def test_pretokens_are_numbered_by_string_from_a_clash_on(monkeypatch):
     assert codes.tolist() == want[0].tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 2]
 
 
+def test_long_words_of_one_hash_have_their_own_ids():
+    from tokenizers import Tokenizer
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    chunk = [word + "x", "one two", word.translate(str.maketrans("ab", "ba")) + "x", "two " + word + "x"]
+    keys = pretokens.Split(chunk).keys()
+    assert keys[0] == keys[3]
+    ids, begin = byte_bpe.vocabulary(BPE).encode_block(chunk)
+    library = Tokenizer.from_file(BPE)
+    assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == [library.encode(t, add_special_tokens=False).ids for t in chunk]
+
+
 def test_token_counts(docs, nothing):
     from tokenizers import Tokenizer
 
