@@ -191,6 +191,7 @@ def _of_sample(docs: DataFrame, own: DataFrame, text_col: str, words: int, colum
             for a, b in blocks(texts, BLOCK):
                 made = make([s for s in shingle_sets(texts[a:b], words) if 0 < len(s) <= SAMPLE_SIZE])
                 yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=[columns.split()[0]])
+        give_back()
 
     return rows.select("text").mapInArrow(run, columns)
 
@@ -211,8 +212,13 @@ def sampled(docs: DataFrame, classes: DataFrame, text_col: str, words: int, perc
     return common, hot
 
 
-def part_keys(docs: DataFrame, text_col: str, words: int, percent: int, common: np.ndarray, clashing: frozenset) -> DataFrame:
-    """key, id of every class's emitted parts; copies within a task emit once."""
+def part_keys(docs: DataFrame, text_col: str, words: int, percent: int, common: np.ndarray, clashing: frozenset, hot: np.ndarray) -> DataFrame:
+    """key, id, salt of every class's emitted parts; copies within a task emit once.
+
+    Rows of one key have one salt, unless it is ``hot``: those are dealt by id.  The salt is made here since a second function
+    over Arrow in the same stage would be a second Python worker for each task, and its memory stays with the executor.
+    """
+    known = pa.array(hot.view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -232,23 +238,19 @@ def part_keys(docs: DataFrame, text_col: str, words: int, percent: int, common:
                     keys.append(made)
                     ids.append(np.full(len(made), name, np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "id"])
+                    key, ident = pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))
+                    salt = pc.if_else(pc.is_in(key, known), ident, pa.scalar(0, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([key, ident, salt], names=["key", "id", "salt"])
         give_back()
 
-    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "key long, id long")
+    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "key long, id long, salt long")
 
 
 def meeting(keys: DataFrame, hot: np.ndarray) -> DataFrame:
     """The rows whose key some other id has, without repeats: one shuffle, one sort, and a look at the neighbours.
 
-    ``hot`` keys are known to have several ids, so all their rows stay and need not be neighbours: they are dealt by id.
+    ``hot`` keys are known to have several ids, so all their rows stay and need not be neighbours: their salt deals them by id.
     """
-    known = pa.array(hot.view(np.int64))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            is_hot = pc.is_in(batch.column(0), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(is_hot, batch.column(1), pa.scalar(0, pa.int64()))], names=["key", "id", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The rows of one key are consecutive, sorted by id.  The last row waits for the next batch.
@@ -270,7 +272,7 @@ def meeting(keys: DataFrame, hot: np.ndarray) -> DataFrame:
         give_back()
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.mapInArrow(deal, "key long, id long, salt long").repartition(n, "key", "salt").sortWithinPartitions("key", "id")
+    dealt = keys.repartition(n, "key", "salt").sortWithinPartitions("key", "id")
     return dealt.select("key", "id").mapInArrow(run, "key long, id long")
 
 
@@ -418,7 +420,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_
     classes = named.withColumn("id", ident)
 
     common, hot = sampled(own, classes, text_col, words, percent)
-    met = materialize(meeting(part_keys(own, text_col, words, percent, common, frozenset(clash)), hot), "meeting")
+    met = materialize(meeting(part_keys(own, text_col, words, percent, common, frozenset(clash), hot), hot), "meeting")
     sets = materialize(class_sets(own, classes, met.select("id").distinct(), text_col, words), "class-sets")
     roots = class_roots(met, sets, percent)
     drop(met, sets)

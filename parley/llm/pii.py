@@ -21,7 +21,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import blocks, documents, map_texts, text_list
+from .common import blocks, documents, give_back, map_texts, text_list
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login")
@@ -259,6 +259,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 new = pa.array([None if gone else redacted(t) for t, gone in zip(texts[a:b], null[a:b])], pa.string())
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([new if i == place else c for i, c in enumerate(part.columns)], names=columns)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -372,6 +372,24 @@ def test_near_dup_with_null_and_repeated_ids(spark, monkeypatch):
     assert counted(near_dup.near_groups(written).collect()) == want
 
 
+def test_near_dup_runs_one_python_worker_a_task(docs, monkeypatch):
+    """Of two functions over Arrow in one stage each has a worker of its own, which stays with the executor."""
+    most = []
+
+    def workers(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        below = [workers(node.children().apply(i)) for i in range(node.children().size())]
+        here = max(below, default=0) + (node.nodeName() == "MapInArrow")
+        most.append(here)
+        return 0 if "Exchange" in node.nodeName() else here
+
+    write = near_dup.materialize
+    monkeypatch.setattr(near_dup, "materialize", lambda df, tag: (workers(df._jdf.queryExecution().executedPlan()), write(df, tag))[1])
+    near_dup.near_dedup(docs)
+    assert max(most) == 1
+
+
 def test_rows_of_files_keep_their_numbers(spark, docs):
     plan = common.numbered(docs, "row").select("doc_id", "row")
     rows = plan.collect()
