@@ -246,6 +246,7 @@ class Vocabulary:
         for a, b in blocks(texts):
             split = Split(texts[a:b], special)
             parts.append((a, b, kinds.number(split).astype(np.int32), split.doc_first))
+            del split
         found = self.look_up(kinds.strings)
         if special in kinds.strings:
             found[kinds.strings.index(special)] = special_id.to_bytes(4, "little")

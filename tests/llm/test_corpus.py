@@ -156,6 +156,23 @@ def test_pretokens_are_numbered_by_string_from_a_clash_on(monkeypatch):
     assert codes.tolist() == want[0].tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 2]
 
 
+def test_one_block_of_a_chunk_is_split_at_a_time(monkeypatch):
+    import weakref
+
+    alive, at_once = weakref.WeakSet(), []
+
+    class Watched(pretokens.Split):
+        def __init__(self, *a):
+            alive.add(self)
+            at_once.append(len(alive))
+            super().__init__(*a)
+
+    monkeypatch.setattr(byte_bpe, "Split", Watched)
+    texts = ["some words " * 100_000] * 5
+    ids, begin = byte_bpe.vocabulary(BPE).encode_block(texts)
+    assert len(begin) == 6 and len(at_once) > 2 and max(at_once) == 1
+
+
 def test_long_words_of_one_hash_have_their_own_ids():
     from tokenizers import Tokenizer
 
