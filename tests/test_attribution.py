@@ -43,3 +43,18 @@ def test_windows_and_strict_rel(spark):
     assert [tuple(r) for r in got] == [(after(1.5), after(11.5), after(3), after(4), None, None), (None,) * 6]
     said = spark.createDataFrame([("p", 1, "what is the fees??"), ("p", 2, "MB MB MB")], "p string, o int, m string")
     assert cleaner.process_messages(said, "p", "o", "m").first()["strict_rel"] == 1
+
+
+def test_namesakes_share_one_list(spark):
+    """A list of messages is made once for all who may have written it and meets them last, a part of them at a time."""
+    n = attribution.TOGETHER + 44
+    segments = spark.range(n).selectExpr("'R' AS room", "'al' AS norm", "concat('p', id) AS key_email", "0 AS j", "900 AS l").unionByName(
+        spark.createDataFrame([("R", "sam", "p1", 0, 900), ("R", "sam", "q", 0, 900), ("R", "una", "q", 0, 900)], "room string, norm string, key_email string, j int, l int"))
+    blocks = spark.createDataFrame([("R", k, norm, 100, [f"m{k}"], 1) for k, norm in enumerate(["al", "sam", "una", "al"])], "room string, block_id int, norm string, t int, lines array<string>, n_lines int")
+    rows = attribution.unattributed_lines(attribution.attributed(blocks, segments), segments)
+    found = {r["key_email"]: (r["lines"], r["n_candidates"]) for r in rows.collect()}
+    assert found == {f"p{k}": (["m0", "m3"], n) for k in range(n)} | {"p1": (["m0", "m3", "m1"], n), "q": (["m1"], 2)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Aggregate")
+    only = spark.createDataFrame([("p1",)], "key_email string")
+    assert [r["lines"] for r in attribution.unattributed_lines(attribution.attributed(blocks, segments), segments, only).collect()] == [["m0", "m3", "m1"]]
