@@ -93,3 +93,22 @@ def test_banks(spark):
         raise AssertionError("a blank pattern must be refused")
     except ValueError as e:
         assert "negativity_patterns" in str(e)
+
+
+def test_near_duplicates_of_few_and_of_many(spark, monkeypatch):
+    """Each with each in Python and by rare runs of characters: the same messages stay; a repeated one is cleaned once."""
+    import random
+
+    rnd = random.Random(5)
+    stem = ["please tell me the duration of the course", "when will the recording be shared with all of us today", "price of it", "is it live", "abcdef", "what is the price of the program and is there an emi option"]
+    change = lambda m: "".join(c for c in m if rnd.random() > 0.03) + rnd.choice(["", "", "", "s", " and more than that", " [truncated]"])
+    said = [(p, k, change(rnd.choice(stem))) for p in range(12) for k in range(40)]
+    rows = spark.createDataFrame(said, "p int, k int, m string").repartition(3)
+    tables = []
+    kept = lambda df, tag: tables.append(df.localCheckpoint()) or tables[-1]
+    run = lambda: sorted(map(tuple, cleaner.process_messages(rows, "p", "k", "m", keep=kept).collect()))
+    few = run()
+    monkeypatch.setattr(cleaner, "FEW", 0)
+    assert few == run() and sum(r[3] for r in few) == len(said) and sum(r[5] for r in few) > 100
+    repeated = spark.range(1000).selectExpr("1 AS p", "id AS k", "'go on go on' AS m")
+    assert cleaner.process_messages(repeated, "p", "k", "m", keep=kept).first()["raw"] == 1000 and tables[-1].count() == 1
