@@ -173,3 +173,9 @@ def test_an_empty_session(spark):
 @pytest.mark.parametrize("raw, want", [("90", 90.0), (" 1440 ", 1440.0), ("1441", None), ("", None), (None, None), ("x", None), ("-1", None), ("nan", None)])
 def test_offsets(raw, want):
     assert session.offset(raw) == want
+
+
+def test_pools_are_made_for_those_who_are_shown_them(spark):
+    rows = report(person("Sam Roy", "sam1@firm.example", "", at(11, 0), at(12, 0)), person("Sam Roy", "sam2@firm.example", "", at(11, 0), at(11, 50)))
+    own = of_texts(spark, ("A", 1, "attendee", rows), ("A", 1, "chat", "11:10:00 From Sam Roy to Everyone:\n\twhat is the price\n"))
+    assert [(r["gk"], r["pool"], r["n_candidates"]) for r in own.pools.collect()] == [("sam1@firm.example", ["what is the price"], 2)]
