@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..tables import materialize
 
 HEADER = "^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}\\s+)?([0-9]{1,2}:[0-9]{2}:[0-9]{2})\\s+From\\s+(.+?)\\s+to\\s+(.+?):\\s*$"
 QUOTE = '^\\s*(?:Replying to |Reacted to |Removed a )"?'
@@ -14,6 +15,8 @@ QUOTE = '^\\s*(?:Replying to |Reacted to |Removed a )"?'
 HOSTS = ("host", "moderator", "panelist", "panelists")
 HOST_PATTERN = "(?iu)fireflies|notetaker|otter\\.ai|read\\.ai|\\bfathom\\b|^\\s*(co[- ]?host|host|moderator|panelists?|organiser|organizer|admin|team)\\s*$"
 DAY = 86_400
+#: Numbers of lines or blocks of a file that are summed together.
+PIECE = 100_000
 
 
 def looks_like_chat(lines: Column) -> Column:
@@ -27,13 +30,13 @@ def is_host(raw: Column, norm: Column, names: tuple[str, ...] = HOSTS, pattern:
 
 def blocks(lines: DataFrame, file: list[str]) -> DataFrame:
     """``file``, block_id, line_no, sender, ts, sec, lines of each message block (from line_no, line)."""
-    return timed(untimed(lines, file), file)
+    return timed(materialize(untimed(lines, file), "headed"), file)
 
 
 def timed(rows: DataFrame, file: list[str]) -> DataFrame:
     """``untimed`` blocks with ``sec``; blocks without a line, whose clocks count as well, go.
 
-    The rows are read three times, so a session writes them before.
+    The rows are read several times, so they are written before.
     """
     return wrapped(rows, file, "block_id").filter(F.size("lines") > 0).drop("clock", "day")
 
@@ -45,9 +48,8 @@ def untimed(lines: DataFrame, file: list[str]) -> DataFrame:
     without a line.  Times grow by a day for each day after the file's first date; without a date a jump back of over twelve
     hours is a new day.
     """
-    order = Window.partitionBy(*file).orderBy("line_no")
     head = F.col("line").rlike(HEADER)
-    marked = lines.withColumn("block_id", F.sum(head.cast("int")).over(order)).filter("block_id > 0")
+    marked = numbered(lines.withColumn("_head", head.cast("int")), file, "line_no", "_head", "block_id").filter("block_id > 0").drop("_head")
     body = text.strip(F.col("line"))
     # A block's body is as long as one message is; lines keep their order by number.
     said = F.when(~head & ~F.col("line").rlike(QUOTE) & (body != ""), F.struct("line_no", body.alias("x")))
@@ -57,20 +59,36 @@ def untimed(lines: DataFrame, file: list[str]) -> DataFrame:
     return rows.select(*file, "block_id", "line_no", text.strip(part(2)).alias("sender"), part(1).alias("ts"), text.second_of_day(part(1)).alias("clock"), day.alias("day"), F.transform("said", lambda s: s["x"]).alias("lines"))
 
 
+def numbered(rows: DataFrame, file: list[str], order_by: str, step: str, name: str) -> DataFrame:
+    """The rows with ``name``: the sum of ``step`` up to each row of its file, in order of a whole number that each row has its own of.
+
+    A file is summed by pieces of ``PIECE`` numbers and the few sums of the pieces are added up, so no task has a whole file.
+    """
+    piece = F.floor(F.col(order_by) / PIECE)
+    before = Window.partitionBy(*file).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*file, piece.alias("_piece")).agg(F.sum(step).alias("_sum"))
+    sums = sums.select(*file, "_piece", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*file, "_piece").orderBy(order_by)
+    own = rows.withColumn("_piece", piece).withColumn("_inside", F.sum(step).over(inside))
+    return own.join(sums, [*file, "_piece"]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_piece", "_inside", "_before")
+
+
 def wrapped(rows: DataFrame, file: list[str], order_by: str) -> DataFrame:
     """``sec``: clock plus whole days, by date where there is one, else by jumps back.
 
     Only files with both kinds of headers need a walk: whether an undated clock after a dated one is a new day depends on how
     many new days there were.  Such a file is a group of its own, as large as one saved chat.
     """
-    kinds = rows.groupBy(*file).agg((F.bool_or(F.col("day").isNull()) & F.bool_or(F.col("day").isNotNull())).alias("_mixed"))
+    some = F.col("day").isNotNull()
+    kinds = rows.groupBy(*file).agg(F.bool_or(some).alias("_dated"), F.bool_or(~some).alias("_bare"), F.min_by("day", F.when(some, F.col(order_by))).alias("_first"))
     known = rows.join(kinds, file)
+    seconds = lambda days: (F.col("clock") + days * DAY).cast("int")
+    # With dates throughout each block is told by itself, without its file's order.
+    dated = known.filter("_dated AND NOT _bare").withColumn("sec", seconds(F.greatest(F.datediff("day", "_first"), F.lit(0))))
     order = Window.partitionBy(*file).orderBy(order_by)
     back = F.coalesce((F.col("clock") < F.lag("clock").over(order) - DAY // 2).cast("int"), F.lit(0))
-    first = F.first("day", ignorenulls=True).over(order)
-    plain = known.filter("NOT _mixed").withColumns({"_back": back, "_dated": F.greatest(F.datediff("day", first), F.lit(0))})
-    days = F.when(F.col("day").isNotNull(), F.col("_dated")).otherwise(F.sum("_back").over(order))
-    plain = plain.withColumn("sec", (F.col("clock") + days * DAY).cast("int")).drop("_back", "_dated", "_mixed")
+    bare = known.filter("NOT _dated").withColumn("_back", back).withColumn("sec", seconds(F.sum("_back").over(order))).drop("_back")
+    plain = dated.unionByName(bare).drop("_dated", "_bare", "_first")
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_by, kind="stable")
@@ -85,7 +103,7 @@ def wrapped(rows: DataFrame, file: list[str], order_by: str) -> DataFrame:
             seconds.append(last)
         return pdf.assign(sec=seconds)
 
-    mixed = known.filter("_mixed").drop("_mixed").groupBy(*file).applyInPandas(walk, plain.schema)
+    mixed = known.filter("_dated AND _bare").drop("_dated", "_bare", "_first").groupBy(*file).applyInPandas(walk, plain.schema)
     return plain.unionByName(mixed)
 
 

@@ -65,7 +65,7 @@ def made(spark: SparkSession, sf_dir: str) -> session.Session:
     """The session, with its tables written once for an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MADE:
-        _MADE[key] = session.Session(*texts(spark, sf_dir), BANKS, session.Options(program="mastery"))
+        _MADE[key] = session.Session.of_lines(*texts(spark, sf_dir), BANKS, session.Options(program="mastery"))
     return _MADE[key]
 
 

@@ -77,9 +77,18 @@ class Session:
     @classmethod
     def of_files(cls, files: DataFrame, banks: scoring.Banks, options: Options = Options()) -> Session:
         """From room, file_ord, role, text (see ``sources.session.rooms``)."""
+        return cls._of_roles(roster.numbered_lines(files), banks, options)
+
+    @classmethod
+    def of_lines(cls, reports: DataFrame, chats: DataFrame, banks: scoring.Banks, options: Options = Options()) -> Session:
+        """From room, file_ord, line_no, line of the reports and of the chats, which may cost much to make."""
+        role = lambda rows, name: rows.select("room", "file_ord", F.lit(name).alias("role"), "line_no", "line")
+        return cls._of_roles(role(reports, "attendee").unionByName(role(chats, "chat")), banks, options)
+
+    @classmethod
+    def _of_roles(cls, lines: DataFrame, banks: scoring.Banks, options: Options) -> Session:
         # Files are few and lines many: they are dealt anew, written once, and every later stage reads lines.
-        lines = roster.numbered_lines(files).repartition("room", "file_ord", "role", F.floor(F.col("line_no") / LINES))
-        lines = materialize(lines, "lines")
+        lines = materialize(lines.repartition("room", "file_ord", "role", F.floor(F.col("line_no") / LINES)), "lines")
         own = lambda role: lines.filter(F.col("role") == role).select("room", "file_ord", "line_no", "line")
         session = cls(own("attendee"), own("chat"), banks, options)
         session._tables.append(lines)
@@ -251,7 +260,7 @@ class Session:
     def results(self) -> DataFrame:
         """A row for each person: the columns of the deliverable and of its extras, in no order (see ``ordered``)."""
         parts = self.cells.select("gk", F.posexplode(F.split("all_chats", " \\| ")).alias("k", "m"))
-        split = cleaner.process_messages(parts, "gk", "k", "m", self.options.more_ignorable).select("gk", "relevant", "deleted")
+        split = cleaner.process_messages(parts, "gk", "k", "m", self.options.more_ignorable, self._kept).select("gk", "relevant", "deleted")
         rows = self.judged.join(self.cells, "gk", "left").join(split, "gk", "left")
         cut = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(CELL_MOST)).alias(c)
         yes = lambda c: F.when(c, "Yes").otherwise("No")

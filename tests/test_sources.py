@@ -89,3 +89,15 @@ def test_gate(spark, tmp_path):
     with pytest.raises(sinks.GateError):
         sinks.write_csv(results, clean.selectExpr("'repeats' AS kind", "value", "n"), str(tmp_path / "no"))
     assert [r["value"] for r in sinks.removed_messages(results).collect()] == ["A\x01 <a@x>: mb", "A\x01 <a@x>: ok"]
+
+
+def test_blocks_are_numbered_by_pieces_of_a_file(spark, monkeypatch):
+    """The numbers of a file's blocks don't depend on how its lines are dealt, and a dated file is in no window as a whole."""
+    from parley.operators import chatlog
+
+    monkeypatch.setattr(chatlog, "PIECE", 3)
+    talk = [x for k in range(40) for x in (f"2026-08-{2 + k // 20:02d} 10:00:{k:02d} From P{k} to Everyone:", *[f"\tm{k}"] * (k % 4))]
+    lines = spark.createDataFrame([("f", 5 * n, x) for n, x in enumerate(["lead", *talk])], "file string, line_no long, line string").repartition(5)
+    found = chatlog.untimed(lines, ["file"])
+    assert {(r["block_id"], r["sender"], len(r["lines"])) for r in found.collect()} == {(k + 1, f"P{k}", k % 4) for k in range(40)}
+    assert {(r["block_id"], r["sec"]) for r in chatlog.blocks(lines, ["file"]).collect()} == {(k + 1, 36_000 + k + 86_400 * (k // 20)) for k in range(40) if k % 4}
